@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, licences, quality, warc
+from tessera.llm import bpe, language, licences, quality, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -15,6 +15,20 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, fold(5) != 0)
+    found = language.predict(docs, model)
+    return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    machine = toxicity.fit(docs, labels, "toxic", fold(3) != 1)
+    scored = toxicity.score(docs, machine)
+    return scored.select("doc_id", (fold(3) == 1).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
