@@ -50,6 +50,6 @@ def rows_read_once(*names: str) -> Column:
 
 def buckets(df: DataFrame, bytes_each: int) -> int:
     """How many buckets of about ``bytes_each`` the plan's estimated input makes; grows with the input."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().min(2**62).longValue())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(4 * shuffle, min(size // bytes_each + 1, 1 << 22))

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, language, licences, quality, toxicity, warc
+from tessera.llm import bpe, language, licences, quality, substrings, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -15,6 +15,11 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), rejoin=True)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language.fit(docs, fold(5) != 0)
