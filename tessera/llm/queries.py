@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, jaccard, language, licences, quality, substrings, toxicity, warc
+from tessera.llm import bitsliced, bpe, jaccard, language, licences, quality, substrings, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -15,6 +15,11 @@ def fold(of: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % of
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = bitsliced.index(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return bitsliced.search(blocks, k=20)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substrings.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), rejoin=True)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -62,4 +67,15 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op1_topk_search": """
+            WITH v AS (
+                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+                FROM embeddings
+                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+            s AS (
+                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
+    }
