@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, bpe, jaccard, language, licences, quality, substrings, toxicity, warc
+from tessera.llm import bitsliced, bpe, decontamination, jaccard, language, licences, quality, substrings, toxicity, warc
 from tessera.llm.common import table
 
 
@@ -36,6 +36,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold(5) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     machine = toxicity.fit(docs, labels, "toxic", fold(3) != 1)
