@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.tables import written
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -14,7 +14,7 @@ def _checksum(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of ``edges`` (u long, v long): root is the smallest node of its component.
+    """(node, root) for every node of ``edges`` (u, v of one ordered type): root is the smallest node of its component.
 
     Each round hangs every node's larger neighbours on the smallest one (large star), then
     the smaller ones too (small star), until no edge changes; the number of rounds grows with
