@@ -2,50 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from tessera.tables import fresh_path, shared_dir, table, written
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, a local session) a temporary folder
-    is made, once a session.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("tessera.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: later reads do not recompute it and survive lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Deletes a file or folder through Hadoop, wherever the path points."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def rows_read_once(*names: str) -> Column:
-    """Key of a row's content in these columns; equal rows have equal keys."""
-    return F.xxhash64(*names)
+__all__ = ["buckets", "fresh_path", "shared_dir", "table", "written"]
 
 
 def buckets(df: DataFrame, bytes_each: int) -> int:

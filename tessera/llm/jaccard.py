@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import words as W
 from tessera.llm.common import written
-from tessera.llm.graph import components
+from tessera.operators.components import components
 
 #: A task reports n-grams that it saw this often, in as many n-grams as it holds at once.
 FREQUENT_IN_TASK = 4
@@ -110,21 +110,21 @@ def _set_columns(grams: np.ndarray, percent: int, known: np.ndarray, rank: np.nd
 
 
 def sets(docs: DataFrame, n: int, percent: int, known: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc_id, n (size), name, prefix and ranges of every row."""
+    """doc_id, text_hash, n (size), name, prefix and ranges of every row."""
     shared = docs.sparkSession.sparkContext.broadcast((known, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for b in batches:
-            ids, k = b.column(0).cast(pa.int64()), 0
+            ids, hashed, k = b.column(0).cast(pa.int64()), b.column(2), 0
             for rows in shingles(b.column(1), n):
                 found = [_set_columns(g, percent, known, rank) if len(g) else (0, None, np.empty(0, np.int64), None) for g in rows]
                 sizes = np.array([len(f[2]) for f in found])
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([f[2] for f in found]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[k : k + len(rows)], pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), prefix, pa.array([f[3] for f in found], pa.binary())], ["doc_id", "n", "name", "prefix", "ranges"])
+                yield pa.RecordBatch.from_arrays([ids[k : k + len(rows)], hashed[k : k + len(rows)], pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), prefix, pa.array([f[3] for f in found], pa.binary())], ["doc_id", "text_hash", "n", "name", "prefix", "ranges"])
                 k += len(rows)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n int, name binary, prefix array<long>, ranges binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n int, name binary, prefix array<long>, ranges binary")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -187,6 +187,34 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     nothing. Rows are nodes: rows with the same doc_id are linked only if their texts
     are. Repeated rows give repeated results; other columns are ignored. Ids are below 2**62.
     """
+    rows = grouped(docs, n, percent)
+    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component"))
+    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with all its columns and one row of each group of linked documents: that with the smallest doc_id
+    (null ids last), then text hash.
+
+    Rows without words stay, as they are linked with nothing. Rows that agree in doc_id and
+    text are one document, so one of them stays.
+    """
+    rows = grouped(docs, n, percent).where("n > 0").withColumn("key", F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "text_hash"))
+    first = rows.groupBy("root").agg(F.min("key").alias("first"))
+    drop = written(rows.join(first, "root").where("key <> first").select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h")).distinct(), "dropped")
+    few = drop.count() <= BROADCAST_IDS
+    left = docs.join(F.broadcast(drop) if few else drop, docs["doc_id"].eqNullSafe(F.col("__t_id")) & (F.xxhash64(docs["text"]) == F.col("__t_h")), "left_anti")
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return left
+    empty = F.coalesce(F.trim(F.translate("text", "\t\n\x0b\f\r", "     ")), F.lit("")) == ""
+    return left.where(~empty).dropDuplicates(["doc_id", "text"]).unionByName(left.where(empty))
+
+
+def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """doc_id, text_hash, n, root (of the component) and component (its smallest label) of every row.
+
+    root and component are null for rows without words.
+    """
     docs = docs.select("doc_id", "text")
     known, rank = frequent(docs, n)
     rows = written(sets(docs, n, percent, known, rank), "rows")
@@ -213,8 +241,6 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     roots = written(components(edges.union(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "components")
     labelled = roots.join(classes.select("node", "label", "name"), "node")
     smallest = labelled.groupBy("root").agg(F.min("label").alias("component"))
-    named = labelled.join(smallest, "root").select("name", "component")
-    found = classes.select("name", "label").join(named, "name", "left").select("name", F.coalesce("component", "label").alias("component"))
-    joined = rows.select("doc_id", "n", "name").join(found, "name", "left")
-    component = F.when(F.col("n") == 0, F.col("doc_id")).when(F.col("component") < NO_ID, F.col("component"))
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+    named = labelled.join(smallest, "root").select("name", "root", "component")
+    found = classes.select("name", "node", "label").join(named, "name", "left").select("name", F.coalesce("root", "node").alias("root"), F.coalesce("component", "label").alias("component"))
+    return rows.select("doc_id", "text_hash", "n", "name").join(found, "name", "left").drop("name")
