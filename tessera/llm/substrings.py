@@ -168,7 +168,7 @@ class _Sender:
 
 
 def _packed(raw: bytes) -> bytes:
-    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
 
 def _unpacked(blob: bytes) -> bytes:
@@ -284,19 +284,28 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_
     numbers of words, which replace columns of ``docs`` with these names; None leaves them out.
     """
     rows = keyed(docs)
+    at = docs.columns.index("text")
+    schema_packed = T.StructType([*(T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(docs.schema.fields)), T.StructField("__t_h", T.LongType())])
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = pa.array([None if x is None else _packed(x.encode()) for x in b.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed if i == at else c for i, c in enumerate(b.columns)], names=schema_packed.names)
+
     spans = repeated_spans(rows, width).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("__t_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "__t_id", "h": "__t_h2"})
-    joined = rows.join(spans, rows["doc_id"].eqNullSafe(spans["__t_id"]) & (rows["__t_h"] == spans["__t_h2"]), "left").drop("__t_id", "__t_h2", "__t_h")
+    packed = rows.mapInArrow(pack, schema_packed)  # texts are shuffled once; packed ones take two thirds of the disk
+    joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["__t_id"]) & (packed["__t_h"] == spans["__t_h2"]), "left").drop("__t_id", "__t_h2", "__t_h")
     counts = [(n, k) for k, n in enumerate((n_words, n_removed)) if n]
     kept = [f for f in docs.schema.fields if f.name not in dict(counts)]
     schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n, _ in counts)])
     joined = joined.select(*(F.col(f"`{f.name}`") for f in kept), "__t_spans")
-    at = [f.name for f in kept].index("text")
+    at_kept = [f.name for f in kept].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, numbers = _without_spans(b.column(at), b.column(len(kept)), rejoin)
-            columns = [pa.array(texts, pa.string()) if i == at else b.column(i) for i in range(len(kept))]
+            texts, numbers = _without_spans(b.column(at_kept), b.column(len(kept)), rejoin)
+            columns = [pa.array(texts, pa.string()) if i == at_kept else b.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in numbers], pa.int64()) for _, k in counts)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
@@ -305,8 +314,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_
 def _without_spans(texts: pa.Array, spans: pa.Array, rejoin: bool) -> tuple[list[str | None], list[tuple[int, int]]]:
     out: list[str | None] = []
     numbers: list[tuple[int, int]] = []
-    for text, mine in zip(texts.to_pylist(), spans, strict=True):
-        parts = text.encode().split() if text else []
+    for blob, mine in zip(texts.to_pylist(), spans, strict=True):
+        text = None if blob is None else _unpacked(blob)
+        parts = text.split() if text else []
         removed = 0
         if mine.is_valid and len(mine.values):
             covered = np.zeros(len(parts) + 1, np.int64)
@@ -318,6 +328,6 @@ def _without_spans(texts: pa.Array, spans: pa.Array, rejoin: bool) -> tuple[list
         if removed:
             out.append(b" ".join([parts[i] for i in np.flatnonzero(keep)]).decode())
         else:
-            out.append(b" ".join(parts).decode() if rejoin else text)
+            out.append(b" ".join(parts).decode() if rejoin else None if text is None else text.decode())
         numbers.append((len(parts), removed))
     return out, numbers

@@ -99,6 +99,18 @@ def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """A 64-bit hash of each word's bytes (polynomial by prefix sums, then mixed)."""
     if not len(start):
         return np.empty(0, np.uint64)
+    if len(raw) > CHUNK_BYTES:  # hashes don't depend on places, so large inputs go in parts
+        out, i = np.empty(len(start), np.uint64), 0
+        while i < len(start):
+            k = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, "right")))
+            a, z = start[i], end[k - 1]
+            out[i:k] = _word_hashes(raw[a:z], start[i:k] - a, end[i:k] - a)
+            i = k
+        return out
+    return _word_hashes(raw, start, end)
+
+
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     up, down = _power(len(raw) + 1)
     sums = np.empty(len(raw) + 1, np.uint64)
     sums[0] = 0
