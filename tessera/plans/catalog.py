@@ -1,9 +1,12 @@
 """Registered queries of the audit engine."""
 
+from tessera.plans import audit, evaluation  # noqa: F401  (they register their queries)
+from tessera.plans.registry import ORACLES, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLES)
