@@ -72,18 +72,17 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def chunks_of(words: Column, bits_of_words: list[int], n: int) -> Column:
-    """(chunk, value) of n runs of bits that cover the hash."""
+    """(chunk, pieces) of n runs of bits that cover the hash; a run has a piece for each word it touches."""
     at = [(w, b) for w, size in enumerate(bits_of_words) for b in reversed(range(size))]
     edges = [len(at) * k // n for k in range(n + 1)]
     out = []
     for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
-        value = F.lit(0).cast("long")
+        pieces = []
         for w in sorted({w for w, _ in at[lo:hi]}):
             mine = [b for x, b in at[lo:hi] if x == w]
-            low, size = min(mine), len(mine)
-            value = F.shiftleft(value, size) if w != at[lo][0] else value
-            value = value.bitwiseOR(F.shiftrightunsigned(F.get(words, F.lit(w)), low).bitwiseAND(F.lit((1 << size) - 1).cast("long")))
-        out.append(F.struct(F.lit(k).alias("chunk"), value.alias("value")))
+            piece = F.shiftrightunsigned(F.get(words, F.lit(w)), min(mine))
+            pieces.append(piece if len(mine) == 64 else piece.bitwiseAND(F.lit((1 << len(mine)) - 1).cast("long")))
+        out.append(F.struct(F.lit(k).alias("chunk"), F.array(*pieces).alias("pieces")))
     return F.array(*out)
 
 
