@@ -7,7 +7,7 @@
    A set of n has the prefix of its first n - ceil(t n) + 1 n-grams; two sets that reach
    t share one of their prefixes. Any common order gives whole results, so the counts
    affect speed only.
-3. *First round.* For each prefix n-gram the class with the smallest label leads. Each class
+3. *First round.* For each prefix n-gram the class with the smallest number leads. Each class
    is compared with the leader it shares most prefix n-grams with; a group of copies with
    small changes is mostly linked by these, with one comparison for each member.
 4. *Second round.* Classes that share a prefix n-gram but aren't yet connected are paired,
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -35,9 +35,11 @@ from tessera.operators.components import components
 
 #: A task reports n-grams that it saw this often, in as many n-grams as it holds at once.
 FREQUENT_IN_TASK = 4
-HELD_NGRAMS = 4 << 20
+HELD_NGRAMS = 2 << 20
 #: So many of the most frequent n-grams are ordered by their counts (a bound on what is broadcast, not on what is joined).
 MOST_FREQUENT = 200_000
+#: Parts of a frequent n-gram's group in the first round.
+SALT = 64
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Ids of candidates are broadcast up to this many, else joined by a shuffle.
@@ -62,73 +64,95 @@ def shingles(texts: pa.Array, n: int) -> Iterator[list[np.ndarray]]:
         yield rows
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent n-grams, sorted, and the rank of each by count (rarest first)."""
+def _name(u: np.ndarray) -> bytes:
+    return hashlib.blake2b(u.tobytes(), digest_size=16).digest()
+
+
+def sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, text_hash, n (size), name (128 bits of the set) and counts by hash range of every row; and, as rows
+    with ``gram`` and ``seen`` alone, the n-grams that are frequent in a task."""
+    kinds = [("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("name", pa.binary()), ("ranges", pa.binary()), ("gram", pa.int64()), ("seen", pa.int64())]
+
+    def batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, k)) for c, k in kinds], names=[c for c, _ in kinds])
 
     def count(held: list[np.ndarray]) -> pa.RecordBatch:
         hashed, counts = np.unique(np.concatenate(held), return_counts=True)
         many = counts >= FREQUENT_IN_TASK
-        return pa.RecordBatch.from_arrays([pa.array(hashed[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], ["h", "n"])
+        return batch(int(many.sum()), gram=pa.array(hashed[many].view(np.int64)), seen=pa.array(counts[many].astype(np.int64)))
+
+    def ranges(u: np.ndarray) -> bytes:
+        return np.minimum(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for rows in shingles(b.column(0), n):
-                held += rows
-                size += sum(map(len, rows))
+            k = 0
+            for rows in shingles(b.column(1), n):
+                found = [np.unique(g) for g in rows]
+                part = slice(k, k + len(rows))
+                yield batch(len(rows), doc_id=b.column(0)[part].cast(pa.int64()), text_hash=b.column(2)[part], n=pa.array([len(u) for u in found], pa.int32()), name=pa.array([_name(u) if len(u) else None for u in found], pa.binary()), ranges=pa.array([ranges(u) if len(u) else None for u in found], pa.binary()))
+                k += len(rows)
+                held += found
+                size += sum(map(len, found))
                 if size >= HELD_NGRAMS:
                     yield count(held)
                     held, size = [], 0
         if held:
             yield count(held)
 
-    counted = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(MOST_FREQUENT).toArrow()
-    hashed, counts = counted["h"].to_numpy().view(np.uint64), counted["n"].to_numpy()
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n int, name binary, ranges binary, gram long, seen long")
+
+
+def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the most frequent n-grams, sorted, and the rank of each by count (rarest first)."""
+    counted = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_FREQUENT).toArrow()
+    hashed, counts = counted["gram"].to_numpy().view(np.uint64), counted["seen"].to_numpy()
     rank = np.empty(len(hashed), np.int64)
     rank[np.lexsort((hashed, counts))] = np.arange(len(hashed))
     order = np.argsort(hashed)
     return hashed[order], rank[order]
 
 
-def _set_columns(grams: np.ndarray, percent: int, known: np.ndarray, rank: np.ndarray) -> tuple[int, bytes, np.ndarray, bytes]:
-    """Size, 128-bit name, prefix and counts by hash range of a set."""
-    u = np.unique(grams)
-    n = len(u)
-    name = hashlib.blake2b(u.tobytes(), digest_size=16).digest()
-    length = n - -(-percent * n // 100) + 1
-    if len(known):
-        at = np.minimum(np.searchsorted(known, u), len(known) - 1)
-        often = known[at] == u
-        prefix = u[~often][:length]
-        if len(prefix) < length:
-            common = u[often][np.argsort(rank[at[often]], kind="stable")]
-            prefix = np.concatenate([prefix, common[: length - len(prefix)]])
-    else:
-        prefix = u[:length]
-    ranges = np.minimum(np.bincount((u >> np.uint64(58)).astype(np.int64), minlength=RANGES), 255)
-    return n, name, prefix.view(np.int64), ranges.astype(np.uint8).tobytes()
-
-
-def sets(docs: DataFrame, n: int, percent: int, known: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, n (size), name, prefix and ranges of every row."""
+def prefix_of(u: np.ndarray, percent: int, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first n-grams of a sorted set in the common order, and how many of them are rare."""
+    length = len(u) - -(-percent * len(u) // 100) + 1
+    if not len(known):
+        return u[:length], length
+    at = np.minimum(np.searchsorted(known, u), len(known) - 1)
+    often = known[at] == u
+    rare = u[~often][:length]
+    common = u[often][np.argsort(rank[at[often]], kind="stable")]
+    return np.concatenate([rare, common[: length - len(rare)]]), len(rare)
+
+
+def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, rank: np.ndarray) -> DataFrame:
+    """doc_id, text_hash, prefix and the number of rare n-grams in it, of every row with words."""
     shared = docs.sparkSession.sparkContext.broadcast((known, rank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, rank = shared.value
         for b in batches:
-            ids, hashed, k = b.column(0).cast(pa.int64()), b.column(2), 0
+            k = 0
             for rows in shingles(b.column(1), n):
-                found = [_set_columns(g, percent, known, rank) if len(g) else (0, None, np.empty(0, np.int64), None) for g in rows]
-                sizes = np.array([len(f[2]) for f in found])
-                prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.concatenate([f[2] for f in found]), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids[k : k + len(rows)], hashed[k : k + len(rows)], pa.array([f[0] for f in found], pa.int32()), pa.array([f[1] for f in found], pa.binary()), prefix, pa.array([f[3] for f in found], pa.binary())], ["doc_id", "text_hash", "n", "name", "prefix", "ranges"])
+                part = slice(k, k + len(rows))
+                found = [prefix_of(np.unique(g), percent, known, rank) if len(g) else (g, 0) for g in rows]
+                ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in found])])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for p, _ in found]).view(np.int64), pa.int64()))
+                yield pa.RecordBatch.from_arrays([b.column(0)[part].cast(pa.int64()), b.column(2)[part], lists, pa.array([r for _, r in found], pa.int32())], ["doc_id", "text_hash", "prefix", "rare"])
                 k += len(rows)
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, n int, name binary, prefix array<long>, ranges binary")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, prefix array<long>, rare int")
+
+
+def _bounded(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a written table, broadcast if it has few rows."""
+    df = written(df, name)
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
 
 
 def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that pass the suffix filter."""
+    """Pairs (x, y) that pass the length and suffix filters."""
     side = lambda c: classes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("ranges").alias(f"r_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "n_x", "n_y", "r_x", "r_y")
 
@@ -145,40 +169,45 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
-    """Pairs whose whole sets reach the similarity. The texts of their documents are read again."""
-    spark = docs.sparkSession
+    """Pairs whose whole sets reach the similarity. Texts of their documents are read again and travel packed."""
     pairs = written(pairs, "pairs")
     nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-    wanted = written(nodes.join(classes.select("node", "name", "member"), "node"), "candidates").select("node", "name", F.col("member").alias("__t_id"))
-    few = wanted.count() <= BROADCAST_IDS
-    rows = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("__t_id"))).select("node", "name", "text")
+    wanted = _bounded(nodes.join(classes.select("node", F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h")), "node"), "candidates")
+    rows = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("__t_id")) & (F.col("text_hash") == F.col("__t_h"))).select("node", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k, out = 0, []
-            for rows in shingles(b.column(2), n):
-                for g in rows:
-                    u = np.unique(g).tobytes()
-                    if hashlib.blake2b(u, digest_size=16).digest() == b.column(1)[k].as_py():
-                        out.append((b.column(0)[k].as_py(), u))
-                    k += 1
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([u for _, u in out], pa.binary())], ["node", "grams"])
-
-    whole = written(rows.mapInArrow(run, "node long, grams binary").dropDuplicates(["node"]), "sets")
-    both = pairs.join(whole.select(F.col("node").alias("x"), F.col("grams").alias("g_x")), "x").join(whole.select(F.col("node").alias("y"), F.col("grams").alias("g_y")), "y").select("x", "y", "g_x", "g_y")
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(t.as_py()) for t in b.column(1)], pa.binary())], ["node", "packed"])
+
+    whole = written(rows.mapInArrow(pack, "node long, packed binary").dropDuplicates(["node"]), "texts")
+    side = lambda c: whole.select(F.col("node").alias(c), F.col("packed").alias(f"t_{c}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "t_x", "t_y")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                a, z = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(a) + len(z) - len(np.union1d(a, z))
-                keep.append(100 * common >= percent * (len(a) + len(z) - common))
-            yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
+            for k in range(0, b.num_rows, 256):
+                part = b.slice(k, 256)
+                texts = dict(zip(part.column(0).to_pylist() + part.column(1).to_pylist(), [*part.column(2), *part.column(3)], strict=True))
+                found = dict(zip(texts, (np.unique(g) for rows in shingles(pa.array([_unpacked(t.as_py()) for t in texts.values()], pa.large_string()), n) for g in rows), strict=True))
+                keep = []
+                for x, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    a, z = found[x], found[y]
+                    union = len(np.union1d(a, z))
+                    keep.append(100 * (len(a) + len(z) - union) >= percent * union)
+                yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
     return written(both.mapInArrow(compare, "x long, y long"), "links")
 
 
+def _packed(text: str) -> bytes:
+    raw = text.encode()
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> str:
+    return pa.Codec("zstd").decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True).decode()
+
+
 def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles (set size) and component_id of every row of ``docs``.
 
@@ -215,32 +244,40 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     root and component are null for rows without words.
     """
-    docs = docs.select("doc_id", "text")
-    known, rank = frequent(docs, n)
-    rows = written(sets(docs, n, percent, known, rank), "rows")
-    member = F.min("doc_id")
-    classes = rows.where("n > 0").groupBy("name").agg(member.alias("member"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("ranges").alias("ranges"))
-    unnamed = F.lit(NO_ID) + F.pmod(F.xxhash64("name"), F.lit(NO_ID - 1))
-    classes = written(classes.withColumn("node", F.monotonically_increasing_id()).withColumn("label", F.coalesce("member", unnamed)), "classes")
-    tokens = classes.select("node", "label", "n", F.posexplode("prefix").alias("pos", "token"))
-    lead = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min(F.struct("label", "node", "n")).alias("lead")).where("c > 1")
-    fits = lambda a, b: f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
-    shared = written(tokens.join(lead.select("token", F.col("lead.node").alias("lead"), F.col("lead.n").alias("lead_n")), "token"), "tokens")
-    best = shared.where("node <> lead").where(fits("n", "lead_n")).groupBy("node", "lead").agg(F.count("*").alias("common")).groupBy("node").agg(F.max(F.struct("common", "lead")).alias("best"))
-    links = _linked(_likely(best.select(F.col("node").alias("x"), F.col("best.lead").alias("y")), classes, percent), docs, classes, n, percent)
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    found = written(sets(docs, n), "sets")
+    known, rank = frequent(found)
+    rows = found.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "name", "ranges")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    classes = rows.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n"), F.first("ranges").alias("ranges")).select("name", "first.doc_id", "first.text_hash", "n", "ranges")
+    classes = written(classes.withColumn("number", F.monotonically_increasing_id()).withColumn("label", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("name"), F.lit(NO_ID - 1)))), "classes")
+    # Ids are good node numbers (small ones lead) unless classes share one.
+    plain = classes.groupBy("label").count().where("count > 1").isEmpty()
+    classes = classes.withColumn("node", F.col("label" if plain else "number"))
+    key = classes.select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h"), "node", "n")
+    prefix = prefixes(docs, n, percent, known, rank).join(key, F.col("doc_id").eqNullSafe(F.col("__t_id")) & (F.col("text_hash") == F.col("__t_h")))
+    tokens = prefix.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
+    # Frequent n-grams are salted: each part has a leader of its own, and the second round joins the parts.
+    salt = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(SALT)) + 1).otherwise(0).cast("int")
+    group = Window.partitionBy("token", "salt")
+    led = tokens.select("token", salt.alias("salt"), "node", "n", "pos").withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
+    shared = written(led.where("lead <> last OR salt > 0").drop("last"), "tokens")
+    best = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("common")).groupBy("node").agg(F.max(F.struct("common", (-F.col("lead")).alias("lead"))).alias("best"))
+    links = _linked(_likely(best.select(F.col("node").alias("x"), (-F.col("best.lead")).alias("y")), classes, percent), docs, classes, n, percent)
     edges = links.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    roots = written(components(edges), "components")
+    roots = _bounded(components(edges), "components")
     # Second round: only n-grams that still lie in two components, and only pairs across these.
     rooted = shared.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    mixed = _bounded(rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token"), "mixed")
     open_ = written(rooted.join(mixed, "token"), "open")
     x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
     least = f"ceil({percent} * (n_x + n_y) / {100 + percent}D)"
-    cross = x.join(y, "token").where("root_x < root_y").where(fits("n_x", "n_y")).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+    fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
+    cross = x.join(y, "token").where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
     more = _linked(_likely(cross, classes, percent), docs, classes, n, percent)
     roots = written(components(edges.union(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "components")
     labelled = roots.join(classes.select("node", "label", "name"), "node")
     smallest = labelled.groupBy("root").agg(F.min("label").alias("component"))
     named = labelled.join(smallest, "root").select("name", "root", "component")
-    found = classes.select("name", "node", "label").join(named, "name", "left").select("name", F.coalesce("root", "node").alias("root"), F.coalesce("component", "label").alias("component"))
-    return rows.select("doc_id", "text_hash", "n", "name").join(found, "name", "left").drop("name")
+    settled = classes.select("name", "node", "label").join(named, "name", "left").select("name", F.coalesce("root", "node").alias("root"), F.coalesce("component", "label").alias("component"))
+    return rows.select("doc_id", "text_hash", "n", "name").join(settled, "name", "left").drop("name")
