@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import metrics, scoring, selection, standardize, validate
+from tessera.operators import inference, metrics, scoring, selection, standardize, validate
 from tessera.plans.registry import query, rounded
 from tessera.tables import table
 
@@ -67,6 +67,16 @@ def abstention_warnings(spark, folder):
     return best.select("vec_id", F.concat_ws(";", scoring.warnings(F.col("confidence"), 0.14)).alias("warning"))
 
 
+@query(f"""WITH {_SOFTMAX}, t AS (SELECT vec_id, any_value(label) AS label, max(CASE WHEN r = 1 THEN i END) AS a, max(CASE WHEN r = 1 THEN p END) AS c, max(CASE WHEN r = 2 THEN i END) AS b, max(CASE WHEN r = 2 THEN p END) AS d, -sum(greatest(p, 1e-10) * ln(greatest(p, 1e-10))) / ln(10) AS h FROM k GROUP BY vec_id), u AS (SELECT *, vec_id % 9 > 0 AS ok FROM t)
+    SELECT vec_id, CASE WHEN ok THEN 'ok' ELSE 'error' END AS status, CASE WHEN ok THEN 'class ' || a END AS predicted_class, CASE WHEN ok THEN round(c, 6) END AS confidence, CASE WHEN ok THEN 'class ' || b END AS top2_class, CASE WHEN ok THEN round(d, 6) END AS top2_confidence,
+    CASE WHEN ok THEN round(c - d, 6) END AS confidence_margin, CASE WHEN ok THEN round(h, 6) END AS normalized_entropy, CASE WHEN ok THEN round(vec_id / 262144.0::DOUBLE, 9) END AS lesion_burden, CASE WHEN ok THEN (c < 0.14)::INTEGER END AS warning_count FROM u""")
+def batch_prediction_rows(spark, folder):
+    rows = _probabilities(spark, folder).withColumn("p", F.when(F.col("vec_id") % 9 > 0, F.col("p"))).withColumn("pixels", F.col("vec_id"))
+    found = inference.results(rows, "p", "pixels", [f"class {i}" for i in range(10)], 0.14)
+    digits = {"confidence": 6, "top2_confidence": 6, "confidence_margin": 6, "normalized_entropy": 6, "lesion_burden": 9}
+    return found.select("vec_id", "status", "predicted_class", F.round("confidence", 6).alias("confidence"), "top2_class", *(F.round(c, d).alias(c) for c, d in digits.items() if c != "confidence"), "warning_count")
+
+
 # ---- masks: the signs of two vectors are truth and prediction ----
 
 _MASKS = """v AS (SELECT a.vec_id, a.label, list_transform(a.embedding, lambda x: (x > 0)::INTEGER) AS t, list_transform(b.embedding, lambda x: (x > 0.05)::INTEGER) AS p FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),

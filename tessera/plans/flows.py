@@ -43,6 +43,15 @@ def edges_of(records: DataFrame, decoded: DataFrame, spark: SparkSession, root:
     return found.withColumn("leakage_flag", duplicates.leaks(F.col("split_1"), F.col("split_2")))
 
 
+def confirmed_edges(edges: DataFrame, decoded: DataFrame, threshold: int = HASH_THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
+    """Exact edges, and near ones whose images are structurally similar; pixels are compared for near candidates alone."""
+    near = edges.where(F.col("duplicate_type") == duplicates.NEAR).where(F.col("metric_value") <= threshold)
+    side = lambda k: decoded.select(F.col("path").alias(f"image_path_{k}"), F.col("image").alias(f"__image_{k}"))
+    scored = near.join(side(1), "image_path_1", "left").join(side(2), "image_path_2", "left").withColumn("ssim", images.ssim(F.col("__image_1"), F.col("__image_2"))).drop("__image_1", "__image_2")
+    exact = edges.where(F.col("duplicate_type") == duplicates.EXACT).withColumn("ssim", F.lit(None).cast("double"))
+    return duplicates.confirmed(exact.unionByName(scored.select(exact.columns)), threshold, similarity)
+
+
 def audit(spark: SparkSession, root: str, near: bool = True, limit: int | None = None) -> Audit:
     """Discovery, validation, duplicates, profiles and tiers of the dataset below ``root``. An empty dataset has no tables."""
     found = discovery.discover(spark, root)

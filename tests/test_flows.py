@@ -66,6 +66,19 @@ def test_duplicates_and_leakage(audited):
     assert audited.tables["leakage"].first()["leakage_train_test"] == 1
 
 
+def test_near_duplicates_are_confirmed_by_structure(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    soft = np.kron(rng.integers(40, 200, (8, 8, 3)), np.ones((16, 16, 1))).astype(np.uint8)
+    for name, pixels in (("a", soft), ("b", np.clip(soft.astype(int) + 2, 0, 255).astype(np.uint8)), ("c", 255 - soft)):
+        png(tmp_path / f"{name}.png", pixels)
+    found = flows.audit(spark, str(tmp_path))
+    pairs = found.tables["duplicate_candidates"]
+    assert [(r["sample_id_1"], r["sample_id_2"], r["duplicate_type"]) for r in pairs.collect()] == [("sample_000000", "sample_000001", "near_perceptual")]
+    decoded = discovery.decoded_images(spark, str(tmp_path))
+    kept = flows.confirmed_edges(pairs, decoded).collect()
+    assert len(kept) == 1 and kept[0]["ssim"] > 0.9 and flows.confirmed_edges(pairs, decoded, similarity=1.01).count() == 0
+
+
 def test_preparation_keeps_groups_together(spark, audited):
     classes = {"early blight": "Tomato — Early Blight", "late blight": "Potato — Late Blight"}
     found = flows.prepare(audited.tables["validated"], audited.tables["duplicate_candidates"], classes)

@@ -196,6 +196,19 @@ def test_scoring_isolates_errors(spark):
     assert scoring.class_map_errors({"a": 0, "b": 1}, 2) == [] and len(scoring.class_map_errors({"a": 0, "b": 0}, 3)) == 2
 
 
+def test_nested_results(spark):
+    import json
+
+    from tessera.operators import inference
+
+    rows = spark.createDataFrame([("a.png", [0.7, 0.2, 0.1], 131072, 0.25), ("b.png", [0.4, 0.35, 0.25], 0, None)], "image string, p array<double>, px long, direct double")
+    found = inference.results(rows, "p", "px", ["x", "y", "z"], 0.5)
+    made = {r[0]: json.loads(r[1]) for r in found.select("image", inference.nested("image", regression=F.col("direct"), classes=["x", "y", "z"])).collect()}
+    a, b = made["a.png"], made["b.png"]
+    assert a["segmentation"]["image_relative_lesion_burden"] == 0.5 and a["segmentation"]["burden_percent"] == 50 and a["direct_regression"]["absolute_disagreement"] == 0.25
+    assert "direct_regression" not in b and b["system"]["input_within_supported_scope"] is None and len(b["system"]["warnings"]) == 1 and a["classification"]["top2"][1]["class_index"] == 1
+
+
 def test_out_of_shape(spark):
     rows = spark.createDataFrame([(600, 100), (100, 20), (100, 100), (0, 5), (None, 5)], "w int, h int")
     assert [r[0] for r in rows.select(validate.unusual(F.col("w"), F.col("h"))).collect()] == [validate.EXTREME_ASPECT, validate.VERY_SMALL, None, validate.EXTREME_ASPECT, None]
