@@ -24,13 +24,13 @@ def group_ids(records: DataFrame, key: str, edges: DataFrame, a: str, b: str) ->
     return rooted.join(numbered, "root").select(F.col("node").alias(key), "duplicate_group_id")
 
 
-def dense_numbers(groups: DataFrame, size: str, least: str, parts: int = 64) -> DataFrame:
+def dense_numbers(groups: DataFrame, size: str, least: str) -> DataFrame:
     """Column ``number`` from 1, by size descending, then ``least``, without a window over all rows.
 
     Rows are dealt by range of the order; a part's numbers begin after the rows of the
     parts before it, whose counts are one row each.
     """
-    ordered = groups.repartitionByRange(parts, F.desc(size), F.asc(least)).withColumn("__part", F.spark_partition_id())
+    ordered = groups.repartitionByRange(F.desc(size), F.asc(least)).withColumn("__part", F.spark_partition_id())
     ordered = written(ordered, "ordered")
     counts = ordered.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")

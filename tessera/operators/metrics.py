@@ -121,7 +121,7 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     dealt by range; no window takes all rows to one task.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    parts = written(counts.repartitionByRange(64, "__v").withColumn("__part", F.spark_partition_id()), "ranks")
+    parts = written(counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "ranks")
     sizes = parts.groupBy("__part").agg(F.sum("__n").alias("__s"))
     before = sizes.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
     upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))

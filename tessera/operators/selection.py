@@ -9,13 +9,13 @@ from tessera.functions.scalars import hashed_order
 from tessera.tables import written
 
 
-def numbered(df: DataFrame, order: list[Column], name: str = "position", parts: int = 64) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column], name: str = "position") -> DataFrame:
     """Column ``name``: 0-based position in the order, without a window over all rows.
 
     Rows are dealt by range of the order; each part's positions begin after the rows of the
     parts before it, whose counts are one row each.
     """
-    dealt = written(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+    dealt = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "numbered")
     counts = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1

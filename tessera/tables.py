@@ -8,6 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of an Arrow batch between JVM and Python: rows differ in length by a factor of thousands, so a number of rows bounds nothing.
+ARROW_BATCH = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Has the session cut Arrow batches by bytes. Python operators call it before they are planned."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH)
+    return spark
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -31,6 +41,6 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder: later reads do not recompute it and survive lost executors."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    spark, path = bounded_batches(df.sparkSession), fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
