@@ -7,10 +7,11 @@
    A set of n has the prefix of its first n - ceil(t n) + 1 n-grams; two sets that reach
    t share one of their prefixes. Any common order gives whole results, so the counts
    affect speed only.
-3. *First round.* For each prefix n-gram the class with the smallest number leads. Each class
-   is compared with the leader it shares most prefix n-grams with; a group of copies with
-   small changes is mostly linked by these, with one comparison for each member.
-4. *Second round.* Classes that share a prefix n-gram but aren't yet connected are paired,
+3. *First round.* Classes that share a prefix n-gram are put in order of size, and each meets the
+   first and some preceding ones. Each class is compared with the few it meets most often; a
+   group of copies with small changes is mostly connected by these, with a bounded number of
+   comparisons for each member. A second round does the same among those not yet connected.
+4. *Last round.* Classes that share a prefix n-gram but aren't yet connected are paired,
    each pair once, and pass the length, positional and suffix filters before they are
    compared. The suffix filter takes counts of the n-grams by hash range, whose differences
    bound the number of n-grams in only one of the two sets. Pairs inside a component aren't
@@ -38,8 +39,11 @@ FREQUENT_IN_TASK = 4
 HELD_NGRAMS = 2 << 20
 #: So many of the most frequent n-grams are ordered by their counts (a bound on what is broadcast, not on what is joined).
 MOST_FREQUENT = 200_000
-#: Parts of a frequent n-gram's group in the first round.
-SALT = 64
+#: The group of an n-gram that occurs this often is dealt into SALT parts in the first round.
+SALTED_FROM, SALT = 8_192, 64
+#: The first round looks at one prefix n-gram in so many, takes the first and the preceding classes by size of
+#: its group (NEIGHBOURS in all), and compares each class with the TRIED others it meets most often.
+LOOKED_AT, NEIGHBOURS, TRIED = 4, 9, 16
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Ids of candidates are broadcast up to this many, else joined by a shuffle.
@@ -104,39 +108,39 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n int, name binary, ranges binary, gram long, seen long")
 
 
-def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the most frequent n-grams, sorted, and the rank of each by count (rarest first)."""
+def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of the most frequent n-grams, sorted, the rank of each by count (rarest first), and the first rank of large groups."""
     counted = found.where("gram IS NOT NULL").groupBy("gram").agg(F.sum("seen").alias("seen")).orderBy(F.desc("seen"), "gram").limit(MOST_FREQUENT).toArrow()
     hashed, counts = counted["gram"].to_numpy().view(np.uint64), counted["seen"].to_numpy()
     rank = np.empty(len(hashed), np.int64)
     rank[np.lexsort((hashed, counts))] = np.arange(len(hashed))
     order = np.argsort(hashed)
-    return hashed[order], rank[order]
+    return hashed[order], rank[order], int((counts < SALTED_FROM).sum())
 
 
-def prefix_of(u: np.ndarray, percent: int, known: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
-    """The first n-grams of a sorted set in the common order, and how many of them are rare."""
+def prefix_of(u: np.ndarray, percent: int, known: np.ndarray, rank: np.ndarray, large: int) -> tuple[np.ndarray, int]:
+    """The first n-grams of a sorted set in the common order, and how many of them have no large group."""
     length = len(u) - -(-percent * len(u) // 100) + 1
     if not len(known):
         return u[:length], length
     at = np.minimum(np.searchsorted(known, u), len(known) - 1)
     often = known[at] == u
     rare = u[~often][:length]
-    common = u[often][np.argsort(rank[at[often]], kind="stable")]
-    return np.concatenate([rare, common[: length - len(rare)]]), len(rare)
+    ranks = rank[at[often]]
+    order = np.argsort(ranks, kind="stable")[: length - len(rare)]
+    return np.concatenate([rare, u[often][order]]), len(rare) + int((ranks[order] < large).sum())
 
 
-def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, rank: np.ndarray) -> DataFrame:
-    """doc_id, text_hash, prefix and the number of rare n-grams in it, of every row with words."""
-    shared = docs.sparkSession.sparkContext.broadcast((known, rank))
+def prefixes(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """doc_id, text_hash, prefix and the number of n-grams in it that have no large group, of every row."""
+    shared = docs.sparkSession.sparkContext.broadcast(order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = shared.value
         for b in batches:
             k = 0
             for rows in shingles(b.column(1), n):
                 part = slice(k, k + len(rows))
-                found = [prefix_of(np.unique(g), percent, known, rank) if len(g) else (g, 0) for g in rows]
+                found = [prefix_of(np.unique(g), percent, *shared.value) if len(g) else (g, 0) for g in rows]
                 ends = np.concatenate([[0], np.cumsum([len(p) for p, _ in found])])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([p for p, _ in found]).view(np.int64), pa.int64()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[part].cast(pa.int64()), b.column(2)[part], lists, pa.array([r for _, r in found], pa.int32())], ["doc_id", "text_hash", "prefix", "rare"])
@@ -145,6 +149,40 @@ def prefixes(docs: DataFrame, n: int, percent: int, known: np.ndarray, rank: np.
     return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, prefix array<long>, rare int")
 
 
+def _with_neighbours(tokens: DataFrame, order: list) -> DataFrame:
+    """Column ``near``: the first node and the preceding ones of each n-gram's group in the order; and the next one."""
+    group = Window.partitionBy("token", "salt").orderBy(*order)
+    near = F.array(F.first("node").over(group), *(F.lag("node", k).over(group) for k in range(1, NEIGHBOURS)))
+    return tokens.withColumns({"near": near, "next": F.lead("node").over(group)} | ({"roots": F.array(F.first("root").over(group), *(F.lag("root", k).over(group) for k in range(1, NEIGHBOURS)))} if "root" in tokens.columns else {}))
+
+
+def _most_met(met: DataFrame, across: bool = False) -> DataFrame:
+    """Pairs (x, y) of each node and the TRIED others that it meets most often; only those of other components if ``across``."""
+    if across:
+        some = met.select("node", "root", F.explode(F.arrays_zip("near", "roots")).alias("o")).where("root <> o.roots").select("node", F.col("o.near").alias("other"))
+    else:
+        some = met.select("node", F.explode(F.array_distinct("near")).alias("other")).where("node <> other")
+    common = some.groupBy("node", "other").agg(F.count("*").alias("common"))
+    best = common.groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("common", "other")), False), 1, TRIED).alias("best")).select("node", F.explode("best.other").alias("other"))
+    return best.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
+
+
+def _still_open(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of n-grams that lie in more than one component, with column ``root``."""
+    rooted = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token")
+    return written(rooted.join(_bounded(mixed, "mixed"), "token"), "open")
+
+
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Roots after more links: the components of the old roots, so edges inside one component don't come again."""
+    root_of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(root_of("x"), "x", "left").join(root_of("y"), "y", "left").select(F.coalesce("root_x", "x").alias("u"), F.coalesce("root_y", "y").alias("v"))
+    tops = written(components(between), "components").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    lone = tops.join(roots.select(F.col("node").alias("root")), "root", "left_anti").select(F.col("root").alias("node"), F.col("top").alias("root"))
+    return _bounded(roots.join(tops, "root", "left").select("node", F.coalesce("top", "root").alias("root")).unionByName(lone), "components")
+
+
 def _bounded(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table, broadcast if it has few rows."""
     df = written(df, name)
@@ -246,7 +284,6 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = written(sets(docs, n), "sets")
-    known, rank = frequent(found)
     rows = found.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "name", "ranges")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
     classes = rows.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n"), F.first("ranges").alias("ranges")).select("name", "first.doc_id", "first.text_hash", "n", "ranges")
@@ -255,27 +292,29 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     plain = classes.groupBy("label").count().where("count > 1").isEmpty()
     classes = classes.withColumn("node", F.col("label" if plain else "number"))
     key = classes.select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h"), "node", "n")
-    prefix = prefixes(docs, n, percent, known, rank).join(key, F.col("doc_id").eqNullSafe(F.col("__t_id")) & (F.col("text_hash") == F.col("__t_h")))
+    prefix = prefixes(docs, n, percent, frequent(found)).join(key, F.col("doc_id").eqNullSafe(F.col("__t_id")) & (F.col("text_hash") == F.col("__t_h")))
     tokens = prefix.select("node", "n", "rare", F.posexplode("prefix").alias("pos", "token"))
-    # Frequent n-grams are salted: each part has a leader of its own, and the second round joins the parts.
-    salt = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("node"), F.lit(SALT)) + 1).otherwise(0).cast("int")
-    group = Window.partitionBy("token", "salt")
-    led = tokens.select("token", salt.alias("salt"), "node", "n", "pos").withColumns({"lead": F.min("node").over(group), "last": F.max("node").over(group)})
-    shared = written(led.where("lead <> last OR salt > 0").drop("last"), "tokens")
-    best = shared.where("node <> lead").groupBy("node", "lead").agg(F.count("*").alias("common")).groupBy("node").agg(F.max(F.struct("common", (-F.col("lead")).alias("lead"))).alias("best"))
-    links = _linked(_likely(best.select(F.col("node").alias("x"), (-F.col("best.lead")).alias("y")), classes, percent), docs, classes, n, percent)
-    edges = links.select(F.col("x").alias("u"), F.col("y").alias("v"))
-    roots = _bounded(components(edges), "components")
-    # Second round: only n-grams that still lie in two components, and only pairs across these.
-    rooted = shared.join(roots, "node", "left").select("token", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    mixed = _bounded(rooted.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("token"), "mixed")
-    open_ = written(rooted.join(mixed, "token"), "open")
+    # Large groups are salted, anew for each n-gram; the last round sees them whole.
+    salt = F.when(F.col("pos") >= F.col("rare"), F.pmod(F.xxhash64("node", "token"), F.lit(SALT)) + 1).otherwise(0).cast("int")
+    tokens = tokens.select("token", salt.alias("salt"), "node", "n", "pos")
+    met = _with_neighbours(tokens, [F.col("n"), F.col("node")])
+    shared = written(met.where("salt > 0 OR next IS NOT NULL OR near[0] <> node"), "tokens")
+    pairs = _most_met(shared.where(F.pmod("token", F.lit(LOOKED_AT)) == 0))
+    links = _linked(_likely(pairs, classes, percent), docs, classes, n, percent)
+    roots = _bounded(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
+    # Second round: the same with neighbours at random, among n-grams that still lie in two components.
+    open_ = _still_open(shared.drop("near", "next"), roots)
+    met = _with_neighbours(open_.where(F.pmod("token", F.lit(LOOKED_AT)) == 0), [F.xxhash64("node", "token")])
+    pairs = _most_met(met, across=True)
+    more = _linked(_likely(pairs, classes, percent), docs, classes, n, percent)
+    roots = _joined(roots, more)
+    # Last round: all pairs across components that share an n-gram and pass the filters.
+    open_ = _still_open(open_.drop("root"), roots)
     x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
     least = f"ceil({percent} * (n_x + n_y) / {100 + percent}D)"
     fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
     cross = x.join(y, "token").where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
-    more = _linked(_likely(cross, classes, percent), docs, classes, n, percent)
-    roots = written(components(edges.union(more.select(F.col("x").alias("u"), F.col("y").alias("v")))), "components")
+    roots = _joined(roots, _linked(_likely(cross, classes, percent), docs, classes, n, percent))
     labelled = roots.join(classes.select("node", "label", "name"), "node")
     smallest = labelled.groupBy("root").agg(F.min("label").alias("component"))
     named = labelled.join(smallest, "root").select("name", "root", "component")

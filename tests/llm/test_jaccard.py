@@ -87,5 +87,7 @@ def test_keep_one(spark, docs_of):
 
 def test_salted_frequent_ngrams_change_nothing(spark, docs_of, monkeypatch):
     monkeypatch.setattr(jaccard, "SALT", 2)
+    monkeypatch.setattr(jaccard, "SALTED_FROM", 1)
+    monkeypatch.setattr(jaccard, "FREQUENT_IN_TASK", 2)
     rows = near_copies(9, groups=2, each=25, length=30)
     assert sorted(map(tuple, jaccard.jaccard_join(docs_of(rows), 3, 90).collect()), key=repr) == brute(rows, 3, 90)
