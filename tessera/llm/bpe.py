@@ -25,6 +25,8 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
+from tessera.llm.common import bounded_batches
+
 #: Texts up to this many characters without a long run of white space are encoded at once.
 DIRECT_CHARS = 16_384
 LONG_RUN = 1_024
@@ -82,6 +84,7 @@ def token_ids(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
             ids = [encode(enc, t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -104,4 +107,5 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 decoded.append(hashlib.sha256(enc.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, RESULT)

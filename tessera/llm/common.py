@@ -4,13 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-from tessera.tables import fresh_path, shared_dir, table, written
+from tessera.tables import bounded_batches, fresh_path, shared_dir, table, written
 
-__all__ = ["buckets", "fresh_path", "shared_dir", "table", "written"]
+__all__ = ["bounded_batches", "buckets", "fresh_path", "shared_dir", "table", "written"]
+
+
+#: Estimates beyond this are those of plans whose size Spark doesn't know.
+UNKNOWN_BYTES = 1 << 50
 
 
 def buckets(df: DataFrame, bytes_each: int) -> int:
-    """How many buckets of about ``bytes_each`` the plan's estimated input makes; grows with the input."""
+    """How many buckets of about ``bytes_each`` the plan's estimated input makes; grows with the input.
+
+    Where Spark has no estimate, a multiple of the shuffle partitions stands for it.
+    """
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     shuffle = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(4 * shuffle, min(size // bytes_each + 1, 1 << 22))
+    return 32 * shuffle if size > UNKNOWN_BYTES else max(4 * shuffle, size // bytes_each + 1)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import bounded_batches, written
 
 #: The tables are counted on this many documents at most, those with the smallest hash of their id.
 TRAINING_DOCUMENTS = 4_096
@@ -151,7 +151,7 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
     ``und`` and 0. Ties go to the language that sorts first. Rows with a null doc_id and
     repeated rows stay; other columns are ignored. No shuffle.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(m)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)

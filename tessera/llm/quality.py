@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
+from tessera.llm.common import bounded_batches
 
 #: The model learns from this many labelled documents at most, those with the smallest hash of their id.
 TRAINING_DOCUMENTS = 8_192
@@ -90,6 +91,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learns: Column, lim
         .groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other")
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).select("doc_id", "label")
     )
+    bounded_batches(docs.sparkSession)
     rows = [tuple(r) for r in chosen.collect()]  # at most ``limit`` pairs of numbers
     small = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(small), "doc_id")
@@ -141,7 +143,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Setti
     Null and empty texts have no features and get the bias alone. Rows with a null
     doc_id and repeated rows stay; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(weights)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
@@ -161,7 +163,7 @@ def scores(texts: pa.Array, w: np.ndarray, bias: float, s: Settings) -> np.ndarr
 
 def keep_good(docs: DataFrame, weights: np.ndarray, bias: float, threshold: float = 0.5, s: Settings = Settings()) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores at least ``threshold``; no shuffle."""
-    shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index("text")
+    shared, at = bounded_batches(docs.sparkSession).sparkContext.broadcast(weights), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

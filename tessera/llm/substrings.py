@@ -29,20 +29,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import words as W
-from tessera.llm.common import buckets
+from tessera.llm.common import bounded_batches, buckets
 
 WIDTH = 20
 MINIMISER_WORDS = 3
 #: Packed bytes of text that a task collects before it sends them.
 FLUSH_BYTES = 16 << 20
 #: Input bytes for each bucket, by the plan's estimate.
-BUCKET_BYTES = 1 << 20
+BUCKET_BYTES = 3 << 18
 #: One document in so many is looked at for hot minimisers; a minimiser is hot from this share of their super-k-mers.
 SAMPLE = 16
 HOT_SHARE = 1 / 4_000
 HOT_LEAST = 48
 
 _KEY = [("doc_id", np.int64), ("gone", np.uint8), ("h", np.int64), ("start", np.int32)]
+_SPAN = [*_KEY, ("end", np.int32)]
 SPANS = "doc_id long, h long, a int, b int"
 
 
@@ -158,8 +159,7 @@ class _Sender:
             spots.append(spot)
             blobs.append(_packed(len(keys).to_bytes(4, "little") + columns + b"\n".join(keys)))
         if self.spans:
-            self.spans.sort()
-            meta = np.array([(m[1], m[0], m[2], m[3], m[3] + m[4]) for m in self.spans], [*_KEY, ("end", np.int32)])
+            meta = merged(np.array([(m[1], m[0], m[2], m[3], m[3] + m[4]) for m in self.spans], _SPAN))
             spots.append(int(meta["h"][0] + meta["doc_id"][0]) % self.n_buckets)
             blobs.append(_packed(b"\xff\xff\xff\xff" + meta.tobytes()))
         self._clear()
@@ -167,6 +167,22 @@ class _Sender:
             yield pa.RecordBatch.from_arrays([pa.array(spots[k : k + 256], pa.int32()), pa.array(blobs[k : k + 256], pa.binary())], ["bucket", "blob"])
 
 
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans of each document united where they meet, in the order of documents and starts."""
+    spans = spans[np.lexsort((spans["start"], spans["h"], spans["doc_id"], spans["gone"]))]
+    same = np.ones(len(spans), bool)
+    for name in ("doc_id", "gone", "h"):
+        same[1:] &= spans[name][1:] == spans[name][:-1]
+    document = np.cumsum(~same) << 33  # apart by more than any text has words
+    reach = np.maximum.accumulate(spans["end"] + document)
+    first = np.ones(len(spans), bool)
+    first[1:] = spans["start"][1:] + document[1:] > reach[:-1]
+    at = np.flatnonzero(first)
+    out = spans[at].copy()
+    out["end"] = (reach - document)[np.append(at[1:], len(spans)) - 1] if len(spans) else out["end"]
+    return out
+
+
 def _packed(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=6).compress(raw, asbytes=True)
 
@@ -181,7 +197,7 @@ def repeats_in_bucket(blobs: list[bytes], width: int) -> list[np.ndarray]:
     for blob in blobs:
         raw = _unpacked(blob)
         if raw[:4] == b"\xff\xff\xff\xff":
-            meta = np.frombuffer(raw[4:], [*_KEY, ("end", np.int32)])
+            meta = np.frombuffer(raw[4:], _SPAN)
             out.append(meta)
             continue
         n, at, meta = int.from_bytes(raw[:4], "little"), 4, None
@@ -232,7 +248,7 @@ def repeats_in_bucket(blobs: list[bytes], width: int) -> list[np.ndarray]:
     x, y = later[begin], r[begin]
     mine, other = meta[owner[x]], meta[owner[y]]
     own = (word[x] == word[y]) & (mine["doc_id"] == other["doc_id"]) & (mine["gone"] == other["gone"]) & (mine["h"] == other["h"])
-    found = np.empty(int((~own).sum()), [*_KEY, ("end", np.int32)])
+    found = np.empty(int((~own).sum()), _SPAN)
     for name in ("doc_id", "gone", "h"):
         found[name] = mine[name][~own]
     found["start"], found["end"] = word[x][~own], word[later[stop]][~own] + width
@@ -268,7 +284,7 @@ def repeated_spans(keyed_docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
     def settle(group: pa.Table) -> pa.Table:
         found = repeats_in_bucket(group["blob"].to_pylist(), width)
-        meta = np.concatenate(found) if found else np.empty(0, [*_KEY, ("end", np.int32)])
+        meta = merged(np.concatenate(found)) if found else np.empty(0, _SPAN)
         return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64(), mask=meta["gone"] > 0), "h": pa.array(meta["h"]), "a": pa.array(meta["start"]), "b": pa.array(meta["end"])})
 
     return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, SPANS)
@@ -283,6 +299,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_
     words and stays null (empty if ``rejoin``). ``n_words`` and ``n_removed`` name columns for the
     numbers of words, which replace columns of ``docs`` with these names; None leaves them out.
     """
+    bounded_batches(docs.sparkSession)
     rows = keyed(docs)
     at = docs.columns.index("text")
     schema_packed = T.StructType([*(T.StructField(f.name, T.BinaryType()) if i == at else f for i, f in enumerate(docs.schema.fields)), T.StructField("__t_h", T.LongType())])

@@ -29,6 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from tessera.llm import words as W
+from tessera.llm.common import bounded_batches
 from tessera.llm.quality import labelled
 
 #: The machine learns from this many labelled documents at most, those with the smallest hash of their id.
@@ -296,7 +297,7 @@ def score(docs: DataFrame, m: Machine) -> DataFrame:
     Rows with a null doc_id and repeated rows stay; a null text counts as empty; other
     columns are ignored. No shuffle; the broadcast table has 2**BITS weights whatever the input.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(m)
+    shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

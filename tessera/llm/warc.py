@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fresh_path, written
+from tessera.llm.common import bounded_batches, fresh_path, written
 
 #: Equal payloads of fewer bytes are stored again rather than referred to.
 REVISIT_FROM_BYTES = 100
@@ -272,6 +272,6 @@ def read_archives(archives: DataFrame, payloads: bool = True, range_bytes: int =
 
 def round_trip(spark: SparkSession, pages: DataFrame, folder: str | None = None, payloads: bool = False) -> DataFrame:
     """Writes every row of ``pages`` to archives in ``folder`` (the shared folder by default) and reads them back."""
-    folder = folder or fresh_path(spark, "warc")
+    folder = folder or fresh_path(bounded_batches(spark), "warc")
     archives = written(write_archives(with_references(pages), folder), "warc-paths")
     return read_archives(archives.repartition(max(1, archives.count())), payloads)
