@@ -105,7 +105,7 @@ def sets(docs: DataFrame, n: int) -> DataFrame:
         if held:
             yield count(held)
 
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, n int, name binary, ranges binary, gram long, seen long")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(W.lean(run), "doc_id long, text_hash long, n int, name binary, ranges binary, gram long, seen long")
 
 
 def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -115,6 +115,7 @@ def frequent(found: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
     rank = np.empty(len(hashed), np.int64)
     rank[np.lexsort((hashed, counts))] = np.arange(len(hashed))
     order = np.argsort(hashed)
+    W.give_back()
     return hashed[order], rank[order], int((counts < SALTED_FROM).sum())
 
 
@@ -146,7 +147,7 @@ def prefixes(docs: DataFrame, n: int, percent: int, order: tuple[np.ndarray, np.
                 yield pa.RecordBatch.from_arrays([b.column(0)[part].cast(pa.int64()), b.column(2)[part], lists, pa.array([r for _, r in found], pa.int32())], ["doc_id", "text_hash", "prefix", "rare"])
                 k += len(rows)
 
-    return docs.select("doc_id", "text", "text_hash").mapInArrow(run, "doc_id long, text_hash long, prefix array<long>, rare int")
+    return docs.select("doc_id", "text", "text_hash").mapInArrow(W.lean(run), "doc_id long, text_hash long, prefix array<long>, rare int")
 
 
 def _with_neighbours(tokens: DataFrame, order: list) -> DataFrame:
@@ -203,7 +204,7 @@ def _likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             least = -(-percent * size // (100 + percent))
             yield b.filter(pa.array(np.abs(a - z).sum(1) <= size - 2 * least)).select([0, 1])
 
-    return both.mapInArrow(run, "x long, y long")
+    return both.mapInArrow(W.lean(run), "x long, y long")
 
 
 def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, percent: int) -> DataFrame:
@@ -217,7 +218,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_packed(t.as_py()) for t in b.column(1)], pa.binary())], ["node", "packed"])
 
-    whole = written(rows.mapInArrow(pack, "node long, packed binary").dropDuplicates(["node"]), "texts")
+    whole = written(rows.mapInArrow(W.lean(pack), "node long, packed binary").dropDuplicates(["node"]), "texts")
     side = lambda c: whole.select(F.col("node").alias(c), F.col("packed").alias(f"t_{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "t_x", "t_y")
 
@@ -234,7 +235,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, classes: DataFrame, n: int, perce
                     keep.append(100 * (len(a) + len(z) - union) >= percent * union)
                 yield part.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    return written(both.mapInArrow(compare, "x long, y long"), "links")
+    return written(both.mapInArrow(W.lean(compare), "x long, y long"), "links")
 
 
 def _packed(text: str) -> bytes:

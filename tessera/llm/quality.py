@@ -109,9 +109,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, s: Setti
             found = _features(b, s)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "label", "spots", "value"])
 
-    rows = labelled(docs, labels, label, learns, limit).mapInArrow(run, "doc_id long, label int, spots binary, value binary").toArrow().to_pylist()
+    rows = labelled(docs, labels, label, learns, limit).mapInArrow(W.lean(run), "doc_id long, label int, spots binary, value binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (int(W.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["spots"]))
-    return follow_the_leader([(np.frombuffer(r["spots"], "<i4"), np.frombuffer(r["value"], "<f4"), r["label"]) for r in rows], s)
+    found = follow_the_leader([(np.frombuffer(r["spots"], "<i4"), np.frombuffer(r["value"], "<f4"), r["label"]) for r in rows], s)
+    del rows
+    W.give_back()
+    return found
 
 
 def follow_the_leader(rows: list[tuple[np.ndarray, np.ndarray, int]], s: Settings) -> tuple[np.ndarray, float]:
@@ -150,7 +153,7 @@ def score(docs: DataFrame, weights: np.ndarray, bias: float, s: Settings = Setti
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(scores(b.column("text"), w, bias, s), pa.float64())], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(W.lean(run), RESULT)
 
 
 def scores(texts: pa.Array, w: np.ndarray, bias: float, s: Settings) -> np.ndarray:
@@ -169,4 +172,4 @@ def keep_good(docs: DataFrame, weights: np.ndarray, bias: float, threshold: floa
         for b in batches:
             yield b.filter(pa.array(scores(b.column(at), shared.value, bias, s) >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(W.lean(run), docs.schema)

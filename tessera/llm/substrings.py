@@ -103,7 +103,7 @@ def hot_minimisers(docs: DataFrame, width: int) -> np.ndarray:
         seen[0] = seen.get(0, 0) + total  # 0 stands for all
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array(list(seen.values()), pa.int64())], ["h", "n"])
 
-    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    counted = docs.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).select("text").mapInArrow(W.lean(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     most = counted.orderBy(F.desc("n"), "h").limit(int(1 / HOT_SHARE) + 1).collect()
     total = max((r["n"] for r in most if r["h"] == 0), default=0)
     return np.array([r["h"] for r in most if r["h"] and r["n"] >= max(HOT_LEAST, HOT_SHARE * total)], np.int64).view(np.uint64)
@@ -285,9 +285,10 @@ def repeated_spans(keyed_docs: DataFrame, width: int = WIDTH) -> DataFrame:
     def settle(group: pa.Table) -> pa.Table:
         found = repeats_in_bucket(group["blob"].to_pylist(), width)
         meta = merged(np.concatenate(found)) if found else np.empty(0, _SPAN)
+        W.give_back()
         return pa.table({"doc_id": pa.array(meta["doc_id"], pa.int64(), mask=meta["gone"] > 0), "h": pa.array(meta["h"]), "a": pa.array(meta["start"]), "b": pa.array(meta["end"])})
 
-    return docs.mapInArrow(send, "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, SPANS)
+    return docs.mapInArrow(W.lean(send), "bucket int, blob binary").groupBy("bucket").applyInArrow(settle, SPANS)
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_words: str | None = "n_words", n_removed: str | None = "n_removed") -> DataFrame:
@@ -311,7 +312,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_
 
     spans = repeated_spans(rows, width).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("__t_spans"))
     spans = spans.withColumnsRenamed({"doc_id": "__t_id", "h": "__t_h2"})
-    packed = rows.mapInArrow(pack, schema_packed)  # texts are shuffled once; packed ones take two thirds of the disk
+    packed = rows.mapInArrow(W.lean(pack), schema_packed)  # texts are shuffled once; packed ones take two thirds of the disk
     joined = packed.join(spans, packed["doc_id"].eqNullSafe(spans["__t_id"]) & (packed["__t_h"] == spans["__t_h2"]), "left").drop("__t_id", "__t_h2", "__t_h")
     counts = [(n, k) for k, n in enumerate((n_words, n_removed)) if n]
     kept = [f for f in docs.schema.fields if f.name not in dict(counts)]
@@ -325,7 +326,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rejoin: bool = False, n_
             columns = [pa.array(texts, pa.string()) if i == at_kept else b.column(i) for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x[k] for x in numbers], pa.int64()) for _, k in counts)], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(W.lean(run), schema)
 
 
 def _without_spans(texts: pa.Array, spans: pa.Array, rejoin: bool) -> tuple[list[str | None], list[tuple[int, int]]]:
