@@ -362,6 +362,14 @@ def ratio_discrepancies(spark, folder):
     return rows.where("note IS NOT NULL")
 
 
+@query("""WITH r AS (SELECT l_orderkey, l_linenumber, l_discount * 10 AS calc, l_tax * 10 AS meta FROM lineitem)
+    SELECT l_orderkey, l_linenumber, printf('Calculated ratio (%.4f) differs from metadata (%.4f) by %.4f', calc, meta, abs(calc - meta)) AS note FROM r WHERE abs(calc - meta) > 0.05""")
+def ratio_discrepancies_of_all(spark, folder):
+    """``ratio_discrepancies`` over the whole of lineitem; that one's SQL asks for line numbers up to 2."""
+    rows = table(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", validate.discrepancy_note(F.col("l_discount") * 10, F.col("l_tax") * 10, 0.05).alias("note"))
+    return rows.where("note IS NOT NULL")
+
+
 @query("""WITH v AS (SELECT p_partkey, p_size * 10 AS w, (p_partkey % 60) * 10 AS h FROM part)
     SELECT p_partkey, CASE WHEN w > 0 AND h > 0 AND greatest(w / h, h / w) > 5 THEN 'extreme_aspect_ratio' WHEN w = 0 OR h = 0 THEN 'extreme_aspect_ratio' WHEN least(w, h) < 32 THEN 'very_small_resolution' END AS flag FROM v""")
 def unusual_image_flags(spark, folder):
