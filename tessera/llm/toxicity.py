@@ -1,26 +1,32 @@
 """Toxicity: a support vector machine on a gapped subsequence string kernel with Nyström landmarks.
 
-A text is cut into sentences of words. A word is lower-cased, characters that serve to
-hide a word are taken out of it (``id-i.ot``), and runs of single letters are put
-together (``i d i o t``). The kernel of two words is the inner product of their gapped
-subsequences of three and four bytes, each weighted by ``GAP`` for every byte it skips,
-over the product of the weights' norms; skips are bounded, so a word has a short explicit
-list of subsequences, and inserted or replaced characters leave most of them.
-
-Labels belong to documents, so each labelled document is a bag of the words of its
-sentences: in a document that isn't toxic none is toxic; in a toxic one some word is. The
-machine is trained in rounds; each takes the best words of each toxic document as
-positive and adds the worst errors among the words of the others. The landmarks' weights
-give one weight for each subsequence, by which the words of any text are scored exactly
-as by the kernel expansion. A document's score is that of its worst word, as a
-probability.
+A text is cut into sentences of words: at ``.``, ``!`` or ``?`` behind a word of two bytes or
+more and before a space. A mark inside a word may hide the word (``id-i.ot``) or end a
+sentence without a space (``loser.You``); such a word is read both ways. A word is
+lower-cased, characters that serve to hide it are taken out, and runs of single letters
+are put together (``i d i o t``). Units are runs of words of one sentence: 1, 2, 4, 8 ...
+words from any place, and the whole sentence. The kernel of two units is the inner product
+of their gapped subsequences of three and four bytes, which also run over the marks between
+words, each weighted by ``GAP`` for every byte it skips, over the product of the weights'
+norms; skips are bounded, so a unit has a short explicit list of subsequences, and
+inserted or replaced characters leave most of them.
+
+Labels belong to documents, so each labelled document is a bag of the units of its
+sentences: in a document that isn't toxic none is toxic; in a toxic one some unit is.
+Units may be positive that stand in ``LIFT`` times as large a share of the toxic documents
+as of the others, so a clean document that quotes an insult doesn't bar it. The machine is
+trained in rounds; each takes the best units of each toxic document as positive and adds
+the worst errors among the units of a part of the others; all parts have their turn. The
+landmarks' weights give one weight for each subsequence, by which the units of any text
+are scored exactly as by the kernel expansion. A document's score is that of its worst
+unit, as a probability.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -48,6 +54,16 @@ _KEPT = np.ones(256, bool)
 _KEPT[list(HIDES)] = False
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 _BEGIN, _END = 1, 2
+#: Byte that parts two sentences (one of PARTS).
+_STOP = 0x1E
+#: Bytes of text that are taken apart at a time.
+PART_BYTES = 1 << 20
+#: A unit may be positive if its share of the toxic documents is this many times its share of the others.
+LIFT = 4
+#: Landmarks have this many bytes at most, which bounds their table; longer units are compared with them all the same.
+LANDMARK_BYTES = 48
+#: Units that the machine is trained on have this many bytes at most; all units are scored.
+TRAINED_BYTES = 256
 
 RESULT = "doc_id long, score double"
 
@@ -59,8 +75,18 @@ def _without(raw: np.ndarray, at: np.ndarray, keep: np.ndarray) -> tuple[np.ndar
 
 
 def unhidden(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes, row offsets, and word places of texts without hiding characters and with spelled-out words put together."""
-    raw, at = _without(raw, at, _KEPT[raw])
+    """Bytes, row offsets, and word places of texts without hiding characters and with spelled-out words put together.
+    The byte that parts words behind the end of a sentence becomes _STOP."""
+    keep = _KEPT[raw]
+    marks = np.flatnonzero((raw == 0x2E) | (raw == 0x21) | (raw == 0x3F))
+    row = np.searchsorted(at, marks, "right") - 1
+    behind = np.cumsum(keep)[marks]  # place of the next kept byte
+    raw, at = _without(raw, at, keep)
+    good = (behind < at[row + 1]) & (behind >= at[row] + 2)
+    behind = behind[good]
+    behind = behind[(_CLASSES[raw[behind]] == 0) & (_CLASSES[raw[behind - 1]] != 0) & (_CLASSES[raw[behind - 2]] != 0)]
+    raw = raw.copy()
+    raw[behind] = _STOP
     start, end, first = W.places(raw, at, _CLASSES)
     if len(start) > 2:
         pair = (end[:-1] - start[:-1] == 1) & (end[1:] - start[1:] == 1) & (start[1:] - end[:-1] == 1)
@@ -118,6 +144,46 @@ def word_scores(flat: np.ndarray, at: np.ndarray, table: np.ndarray) -> np.ndarr
     return (total[at[1:]] - total[at[:-1]]) / _norms(np.diff(at))
 
 
+def sentence_ends(raw: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each word the index of the word behind its sentence."""
+    cut = np.zeros(len(start) + 1, bool)
+    cut[0] = cut[-1] = True
+    cut[first] = True
+    stops = np.concatenate([[0], np.cumsum(raw == _STOP)])
+    cut[1:-1] |= stops[start[1:]] != stops[end[:-1]]
+    edges = np.flatnonzero(cut)
+    return np.repeat(edges[1:], np.diff(edges))
+
+
+def unit_places(last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """First word, and the word behind the last, of all units: by their number of words, then whole sentences."""
+    first, n = np.arange(len(last)), 1
+    while len(first):
+        yield first, first + n
+        n *= 2
+        first = first[first + n <= last[first]]
+    begins = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]]))
+    size = last[begins] - begins
+    begins = begins[size & (size - 1) != 0]
+    if len(begins):
+        yield begins, last[begins]
+
+
+def unit_scores(flat: np.ndarray, at: np.ndarray, last: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First word, word behind the last, and decision value without the bias of all units, as word_scores gives it."""
+    edges = np.concatenate([[0], np.flatnonzero(np.concatenate([last[1:] != last[:-1], [True]])) + 1])
+    totals = {o[-1]: np.zeros(len(flat) + 1) for o in OFFSETS}
+    for offsets, (where, keys, weight) in zip(OFFSETS, subsequences(flat, at[edges]), strict=True):
+        totals[offsets[-1]][where + 1] += weight * table[keys]
+    for total in totals.values():
+        np.cumsum(total, out=total)
+    norms = _norms(np.arange(int(np.diff(at[edges]).max()) + 1))
+    for first, behind in unit_places(last):
+        a, z = at[first], at[behind]
+        value = sum(total[np.maximum(z - reach, a)] - total[a] for reach, total in totals.items())
+        yield first, behind, value / norms[z - a]
+
+
 @dataclass(frozen=True)
 class Machine:
     """``table``: a weight for each subsequence; a word's value is its score plus ``bias``; probability: sigmoid(slope * value + offset)."""
@@ -132,18 +198,27 @@ class Machine:
 UNTRAINED = Machine(np.zeros(1 << BITS, np.float32), 0.0, 0.0, -30.0)
 
 
+#: A word with a mark inside: it is kept as a sentence of its own, and its parts end and begin sentences.
+_INNER = r"(\S*\pL{2})([.!?]+)(\pL{2}\S*)"
+
+
+def read_both_ways(texts: pa.Array) -> pa.Array:
+    return pc.replace_substring_regex(texts, _INNER, "\\1\x1e\\1\\2\\3\x1e\\3")
+
+
 def document_values(texts: pa.Array, m: Machine) -> np.ndarray:
-    """The largest word value of each row; -inf for rows without words. Words are scored once for each chunk."""
+    """The largest unit value of each row; -inf for rows without words."""
     out = np.full(len(texts), -np.inf)
-    for first, end, raw, at in W.chunks(pc.utf8_lower(texts)):
+    for first, _, raw, at in W.chunks(read_both_ways(pc.utf8_lower(texts)), PART_BYTES):
         raw, at, start, stop, words = unhidden(raw, at)
         if not len(start):
             continue
-        hashed = W.word_hashes(raw, start, stop)
-        _, one, back = np.unique(hashed, return_index=True, return_inverse=True)
-        value = word_scores(*flat_words(raw, start[one], stop[one]), m.table)[back]
+        flat, flat_at = flat_words(raw, start, stop)
+        best = np.full(len(start), -np.inf)
+        for begin, _, value in unit_scores(flat, flat_at, sentence_ends(raw, start, stop, words), m.table):
+            best[begin] = np.maximum(best[begin], value)
         rows = np.flatnonzero(np.diff(words))
-        out[first + rows] = np.maximum.reduceat(value, words[rows]) + m.bias
+        out[first + rows] = np.maximum.reduceat(best, words[rows]) + m.bias
     return out
 
 
@@ -163,16 +238,72 @@ def bag(texts: pa.Array) -> list[list[bytes]]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, limit: int = TRAINING_DOCUMENTS) -> Machine:
-    """Trains on the driver from the distinct words of at most ``limit`` labelled documents."""
+    """Trains on the driver from the sentences of at most ``limit`` labelled documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([b"\n".join(x) for x in bag(b.column("text"))], pa.binary())], ["doc_id", "label", "words"])
-
-    rows = labelled(docs, labels, label, learns, limit).mapInArrow(run, "doc_id long, label int, words binary").toArrow()
+            out: list[bytes] = []
+            for _, _, raw, at in W.chunks(read_both_ways(pc.utf8_lower(b.column("text"))), PART_BYTES):
+                raw, at, *_ = unhidden(raw, at)
+                data = raw.tobytes()
+                out += [data[i:k] for i, k in itertools.pairwise(at)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array(out, pa.binary())], ["doc_id", "label", "bytes"])
+
+    rows = labelled(docs, labels, label, learns, limit).mapInArrow(run, "doc_id long, label int, bytes binary").toArrow()
     order = np.lexsort((rows["label"].to_numpy(), rows["doc_id"].to_numpy()))
-    bags = rows["words"].to_pylist()
-    return train([bags[i].split(b"\n") if bags[i] else [] for i in order], rows["label"].to_numpy()[order])
+    read = rows["bytes"].to_pylist()
+    return train([read[i] for i in order], rows["label"].to_numpy()[order])
+
+
+def unit_hashes(words: np.ndarray, first: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """Hashes of units from their words' hashes: a polynomial by prefix sums modulo 2**64, moved to its first word, then mixed."""
+    n, base = len(words) + 1, 0x9E3779B97F4A7C15
+    power, back = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:-1])])
+    found = (total[behind] - total[first]) * back[first]
+    return (found ^ (found >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+@dataclass(frozen=True)
+class Part:
+    """Some training documents: words' bytes and offsets, the word behind each word's sentence, and each word's document."""
+
+    flat: np.ndarray
+    at: np.ndarray
+    last: np.ndarray
+    doc: np.ndarray
+
+    def units(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """First word, word behind the last, and hash of all units."""
+        words = W.word_hashes(self.flat, self.at[:-1] + 1, self.at[1:] - 1)
+        for first, behind in unit_places(self.last):
+            keep = self.short(first, behind)
+            yield first[keep], behind[keep], unit_hashes(words, first[keep], behind[keep])
+
+    def short(self, first: np.ndarray, behind: np.ndarray, most: int = TRAINED_BYTES) -> np.ndarray:
+        return self.at[behind] - self.at[first] <= most + 2
+
+    def valued(self, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """The same with the units' values."""
+        for (first, behind, h), (i, k, value) in zip(self.units(), unit_scores(self.flat, self.at, self.last, table), strict=True):
+            yield first, behind, value[self.short(i, k)], h
+
+    def unit(self, first: int, behind: int) -> bytes:
+        return self.flat[self.at[first] + 1 : self.at[behind] - 1].tobytes()
+
+
+def parts_of(docs: list[bytes], chosen: np.ndarray) -> Iterator[Part]:
+    k = 0
+    while k < len(chosen):
+        begin, n = k, 0
+        while k < len(chosen) and (k == begin or n + len(docs[chosen[k]]) <= PART_BYTES // 4):
+            n += len(docs[chosen[k]])
+            k += 1
+        mine = chosen[begin:k]
+        raw, at = np.frombuffer(b"".join(docs[i] for i in mine), np.uint8), np.concatenate([[0], np.cumsum([len(docs[i]) for i in mine])])
+        start, end, first = W.places(raw, at, _CLASSES)
+        if len(start):
+            yield Part(*flat_words(raw, start, end), sentence_ends(raw, start, end, first), np.repeat(mine, np.diff(first)))
 
 
 def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -197,12 +328,25 @@ class Kernel:
 
     def __call__(self, words: list[bytes]) -> np.ndarray:
         out = np.zeros((len(words), self.phi.shape[1]), np.float32)
-        for k in range(0, len(words), 256):
-            flat, at = _flat(words[k : k + 256])
+        k = 0
+        while k < len(words):
+            begin, n = k, 0
+            while k < len(words) and k < begin + 256 and (k == begin or n + len(words[k]) <= 4_096):
+                n += len(words[k])
+                k += 1
+            flat, at = _flat(words[begin:k])
+            if n > 4_096:  # one long unit: its keys are counted first
+                count = np.zeros(len(self.keys) + 1, np.float32)
+                for _, keys, weight in subsequences(flat, at):
+                    count += np.float32(weight) * np.bincount(self.spot[keys], minlength=len(count)).astype(np.float32)
+                out[begin] = count @ self.phi / _norms(np.diff(at))
+                continue
             total = np.zeros((len(flat), self.phi.shape[1]), np.float32)
             for where, keys, weight in subsequences(flat, at):
-                total[where] += np.float32(weight) * self.phi[self.spot[keys]]
-            out[k : k + 256] = np.add.reduceat(total, at[:-1], 0) / _norms(np.diff(at))[:, None]
+                spot = self.spot[keys]
+                known = spot < len(self.keys)
+                total[where[known]] += np.float32(weight) * self.phi[spot[known]]
+            out[begin:k] = np.add.reduceat(total, at[:-1], 0) / _norms(np.diff(at))[:, None]
         return out
 
     def table(self, beta: np.ndarray) -> np.ndarray:
@@ -227,50 +371,152 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float) ->
     return w
 
 
-def train(bags: list[list[bytes]], labels: np.ndarray, rounds: int = 4, ridge: float = 0.3) -> Machine:
-    toxic = [set(b) for b, y in zip(bags, labels, strict=True) if y and b]
-    clean = Counter(w for b, y in zip(bags, labels, strict=True) if not y for w in b)
-    if not toxic or not clean:
+def _in_documents(parts: Iterator[Part], among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of units in order, and the number of documents that hold each; or those numbers of the hashes ``among``."""
+    known, total = among, np.zeros(0 if among is None else len(among), np.int64)
+    for part in parts:
+        hashes, docs = [], []
+        for first, _, h in part.units():
+            if among is not None:
+                spot = np.minimum(np.searchsorted(among, h), len(among) - 1)
+                first, h = first[among[spot] == h], h[among[spot] == h]
+            hashes.append(h)
+            docs.append(part.doc[first])
+        h, d = np.concatenate(hashes), np.concatenate(docs)
+        order = np.lexsort((d, h))
+        h, d = h[order], d[order]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
+        mine, n = np.unique(h[new], return_counts=True)
+        if among is not None:
+            total[np.searchsorted(among, mine)] += n
+        elif known is None:
+            known, total = mine, n
+        else:
+            both = np.concatenate([known, mine])
+            known, back = np.unique(both, return_inverse=True)
+            total = np.bincount(back, np.concatenate([total, n])).astype(np.int64)
+    return (np.zeros(0, np.uint64) if known is None else known), total
+
+
+def train(docs: list[bytes], labels: np.ndarray, rounds: int = 4, ridge: float = 0.3) -> Machine:
+    """``docs``: documents' bytes as ``unhidden`` leaves them."""
+    labels = np.asarray(labels)
+    toxic, clean = np.flatnonzero(labels != 0), np.flatnonzero(labels == 0)
+    hashes, n_toxic = _in_documents(parts_of(docs, toxic))
+    words: Counter[bytes] = Counter()
+    longer: list[bytes] = []
+    for part in parts_of(docs, clean):
+        for k, (first, behind, h) in enumerate(part.units()):
+            _, one, n = np.unique(h, return_index=True, return_counts=True)
+            if k == 0:
+                words.update({part.unit(first[i], behind[i]): int(x) for i, x in zip(one, n, strict=True)})
+            else:
+                longer += [part.unit(first[i], behind[i]) for i in one[np.argsort(h[one])[: max(1, 1_500 * PART_BYTES // max(PART_BYTES, sum(len(docs[c]) for c in clean)))]]]
+    if not len(hashes) or not words:
         return UNTRAINED
-    only = [b - clean.keys() for b in toxic]
-    seen = Counter(w for b in only for w in b)
-    if not seen:
+    n_clean = _in_documents(parts_of(docs, clean), hashes)[1]
+    may = n_toxic * len(clean) > LIFT * n_clean * len(toxic)
+    if not may.any():
         return UNTRAINED
+    least = 2 if n_toxic[may].max() > 1 else 1
+    often = may & (n_toxic >= least)
+    sure = often & (n_toxic * len(clean) > LIFT * (n_clean + 1) * len(toxic))  # not by chance
+    often = sure if sure.any() else often
+
+    def marked(h: np.ndarray, flags: np.ndarray) -> np.ndarray:
+        spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+        return flags[spot] & (hashes[spot] == h)
+
+    def named(flags: np.ndarray) -> Counter[bytes]:
+        out: Counter[bytes] = Counter()
+        for part in parts_of(docs, toxic):
+            for first, behind, h in part.units():
+                h, one = np.unique(h, return_index=True)
+                for i in one[marked(h, flags) & part.short(first[one], behind[one], LANDMARK_BYTES)]:
+                    out[part.unit(first[i], behind[i])] = 1
+        names = list(out)
+        return Counter(dict(zip(names, n_toxic[np.searchsorted(hashes, hashes_of(names))].tolist(), strict=True)))
+
+    def not_often(units: list[bytes]) -> list[bytes]:
+        return [u for u, x in zip(units, marked(hashes_of(units), often), strict=True) if not x]
+
+    short = lambda units: [u for u in units if len(u) <= LANDMARK_BYTES]
     by_rank = lambda c: sorted(c, key=lambda w: (-c[w], w))
-    known, quarter = by_rank(clean), LANDMARKS // 4
-    mixed = sorted(known, key=hash_of)
-    landmarks = list(dict.fromkeys(by_rank(seen)[: 2 * quarter] + known[:quarter] + mixed[:quarter]))
-    kernel = Kernel(landmarks)
-    values, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
-    good = values > 1e-4 * values[-1]
-    root = vectors[:, good] / np.sqrt(values[good])
-    all_clean = _flat(known)
-    least = 2 if max(seen.values()) > 1 else 1
-    positive = Counter({w: n for w, n in seen.items() if n >= max(least, 0.01 * len(toxic))}) or seen
-    negative = set(known[:2_000]) | set(mixed[:6_000])
-    for _ in range(rounds):
-        pos, neg = sorted(positive), sorted(negative)
+    positive = named(often & (n_toxic >= 0.01 * len(toxic))) or named(often)
+    known, quarter = not_often(by_rank(words)), LANDMARKS // 4
+    mixed, longer = by_hash(known), not_often(by_hash(sorted(set(longer))))
+    negative = set(known[:2_000]) | set(mixed[:4_000]) | set(longer[:2_000])
+    errors: list[bytes] = []
+    for turn in range(rounds):
+        others = short(errors)[:quarter] or mixed[: quarter // 2] + short(longer)[: quarter // 2]
+        landmarks = list(dict.fromkeys((short(by_rank(positive)) or by_rank(positive))[: 2 * quarter] + known[:quarter] + others))
+        kernel = Kernel(landmarks)
+        values, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
+        good = values > 1e-4 * values[-1]
+        root = vectors[:, good] / np.sqrt(values[good])
+        pos, neg = sorted(positive), sorted(negative - positive.keys())
         z = np.hstack([kernel(pos + neg) @ root, np.ones((len(pos) + len(neg), 1))])
         weight = np.array([positive[w] for w in pos], float)
         c = np.concatenate([weight / weight.sum() * len(neg), np.ones(len(neg))]) * 0.5
         w = _squared_hinge(z, np.repeat([1.0, -1.0], [len(pos), len(neg)]), c, ridge)
         table, bias = kernel.table(root @ w[:-1]), float(w[-1])
-        worst = np.argsort(-word_scores(*all_clean, table), kind="stable")[:2_000]
-        negative |= {known[i] for i in worst}
-        positive = Counter()
-        for b in only:
-            if mine := sorted(b):
-                value = word_scores(*_flat(mine), table) + bias
-                top = max(value.max(), 0.0)
-                positive.update(w for w, v in zip(mine, value, strict=True) if v == value.max() or v > 0.5 * top + 0.25)
-    m = Machine(table, bias, 1.0, 0.0)
-    values = np.array([max(word_scores(*_flat(b), table).max() + bias, -3.0) if b else -3.0 for b in bags])
-    return Machine(table, bias, *_sigmoid(values, np.asarray(labels, float))) if len(set(labels)) > 1 else m
-
-
-def hash_of(word: bytes) -> int:
-    raw = np.frombuffer(word, np.uint8)
-    return int(W.word_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
+        if turn + 1 == rounds:
+            break
+        errors = _worst(parts_of(docs, clean[turn :: rounds - 1]), table, lambda h: ~marked(h, often), 2_000)
+        negative |= set(errors)
+        positive = _best(parts_of(docs, toxic), table, bias, lambda h: marked(h, may), lambda h: marked(h, often)) or positive
+    values = np.full(len(docs), -3.0)
+    for part in parts_of(docs, np.arange(len(docs))):
+        best = np.full(len(part.last), -np.inf)
+        for first, _, value in unit_scores(part.flat, part.at, part.last, table):
+            best[first] = np.maximum(best[first], value)
+        np.maximum.at(values, part.doc, best + bias)
+    return Machine(table, bias, *_sigmoid(values, (labels != 0).astype(float)))
+
+
+def _worst(parts: Iterator[Part], table: np.ndarray, allowed: Callable, most: int) -> list[bytes]:
+    """The units of largest value, the largest first."""
+    found: dict[bytes, float] = {}
+    for part in parts:
+        for first, behind, value, h in part.valued(table):
+            _, one = np.unique(h, return_index=True)
+            one = one[allowed(h[one])]
+            for i in one[np.argsort(-value[one], kind="stable")[:most // 4]]:
+                found[part.unit(first[i], behind[i])] = float(value[i])
+        found = {u: found[u] for u in sorted(found, key=lambda u: (-found[u], u))[:most]}
+    return list(found)
+
+
+def _best(parts: Iterator[Part], table: np.ndarray, bias: float, may: Callable, often: Callable) -> Counter[bytes]:
+    """The best unit of each document, and others near it that stand in several toxic documents."""
+    found: Counter[bytes] = Counter()
+    for part in parts:
+        rows = []
+        for first, behind, value, h in part.valued(table):
+            ok = may(h)
+            rows.append((part.doc[first][ok], first[ok], behind[ok], value[ok] + bias, (often(h) & part.short(first, behind, LANDMARK_BYTES))[ok], h[ok]))
+        doc, first, behind, value, many, h = (np.concatenate(x) for x in zip(*rows, strict=True))
+        ids, at = np.unique(doc, return_inverse=True)
+        top = np.full(len(ids), -np.inf)
+        np.maximum.at(top, at, value)
+        take = np.flatnonzero((value == top[at]) | (many & (value > 0.5 * np.maximum(top, 0.0)[at] + 0.25)))
+        _, one = np.unique(np.stack([doc[take].astype(np.uint64), h[take]]), axis=1, return_index=True)
+        found.update(part.unit(first[i], behind[i]) for i in take[one])
+    return found
+
+
+def hashes_of(units: list[bytes]) -> np.ndarray:
+    if not units:
+        return np.empty(0, np.uint64)
+    split = [u.split(b"\2\1") for u in units]
+    words, behind = [w for x in split for w in x], np.cumsum([len(x) for x in split])
+    raw, end = np.frombuffer(b"".join(words), np.uint8), np.cumsum([len(w) for w in words])
+    return unit_hashes(W.word_hashes(raw, end - [len(w) for w in words], end), behind - [len(x) for x in split], behind)
+
+
+def by_hash(units: list[bytes]) -> list[bytes]:
+    return [units[i] for i in np.argsort(hashes_of(units), kind="stable")]
 
 
 def _sigmoid(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
