@@ -82,11 +82,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """doc_id, text_hash, item_id, first_word and similarity of the most similar window of each document and item
     that reach ``similarity``.
 
-    Rows with null texts give nothing; a null doc_id is kept; rows that agree in doc_id and
+    Rows with null texts give nothing; a null doc_id or item_id is kept; rows that agree in doc_id and
     text give one result. first_word counts the words of the document from 0; of equally similar windows it is the first. Of items that
     share an id each is compared. Extra columns are ignored.
     """
-    items = written(items_of(benchmark), "items")
+    # Inside a struct, which is never null itself, a null item_id equals a null item_id in joins.
+    items = written(items_of(benchmark).withColumn("item_id", F.struct("item_id")), "items")
     postings = items.select("item_id", "length", F.posexplode("item_shingles").alias("item_at", "shingle"))
     rows = docs.where(F.col("text").isNotNull()).select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     rows = _held(rows, words=_words(F.col("text"))).select("doc_id", "text_hash", F.size("words").alias("n_words"), "words")
@@ -122,7 +123,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     good = good.groupBy("item_id", "length", "window_key").agg(F.max("similarity").alias("similarity"))
     best = F.max(F.struct("similarity", (-F.col("first_word")).alias("begin")))
     return hits.select("doc_id", "text_hash", "item_id", "length", "first_word", "window_key").join(good, ["item_id", "length", "window_key"]).groupBy("doc_id", "text_hash", "item_id").agg(best.alias("best")).select(
-        "doc_id", "text_hash", "item_id", (-F.col("best.begin")).cast("long").alias("first_word"), F.col("best.similarity").alias("similarity"))
+        "doc_id", "text_hash", "item_id.item_id", (-F.col("best.begin")).cast("long").alias("first_word"), F.col("best.similarity").alias("similarity"))
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
