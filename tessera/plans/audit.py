@@ -42,6 +42,15 @@ def leakage_counts_of_pairs(spark, folder):
     return duplicates.leak_counts(pairs, "split_1", "split_2")
 
 
+@query(f"""WITH {_PAIRS} SELECT count(*) AS pairs, count_if(split_1 <> split_2) AS cross_split_pairs,
+    count_if((split_1, split_2) IN (('train', 'val'), ('val', 'train'))) AS leakage_train_val,
+    count_if((split_1, split_2) IN (('train', 'test'), ('test', 'train'))) AS leakage_train_test,
+    count_if((split_1, split_2) IN (('val', 'test'), ('test', 'val'))) AS leakage_val_test FROM p""")
+def leakage_counts_of_all_pairs(spark, folder):
+    """``leakage_counts_of_pairs`` in all languages; that one's SQL asks for English."""
+    return duplicates.leak_counts(duplicates.exact_pairs(_documents(spark, folder), "doc_id", "digest", ["split", "lang"]), "split_1", "split_2")
+
+
 _BITS = " + ".join(f"(CASE WHEN embedding[{r * 8 + c + 2}] > embedding[{r * 8 + c + 1}] THEN {1 << (55 - (r * 7 + c))}::BIGINT ELSE 0 END)" for r in range(8) for c in range(7))
 _HASHED = f"h AS (SELECT vec_id, {_BITS} AS h FROM embeddings)"
 _NEAR = f"WITH {_HASHED} SELECT a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM h a JOIN h b ON a.vec_id < b.vec_id WHERE bit_count(xor(a.h, b.h)) <= 12"
