@@ -22,6 +22,8 @@ from tessera.llm.common import bounded_batches
 
 #: The model learns from this many labelled documents at most, those with the smallest hash of their id.
 TRAINING_DOCUMENTS = 8_192
+#: Texts of more bytes aren't learned from, which bounds what the driver gets (at most 2 features of 8 bytes a word). All texts are scored whole.
+TRAINING_BYTES = 16_384
 #: Three classes of bytes: space, punctuation and the rest.
 CLASSES = W.word_table(bytes(range(33)) + b"\x7f")
 CLASSES[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
@@ -80,11 +82,12 @@ def _features(batch: pa.RecordBatch, s: Settings) -> list[tuple[np.ndarray, np.n
     return rows
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, learns: Column, limit: int) -> DataFrame:
-    """doc_id, text and label of the documents to learn from: a bounded choice by hashed id.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, learns: Column, limit: int, most_bytes: int) -> DataFrame:
+    """doc_id, text and label of the documents to learn from: a bounded choice by hashed id, at most ``limit`` rows.
 
     ``learns`` is a condition on doc_id. Null ids and labels take no part, nor do ids with
-    both labels; repeated label rows count once. Only ids within the bound are broadcast.
+    both labels; repeated label rows count once, and of documents that share an id the smallest
+    text. Texts of more than ``most_bytes`` aren't learned from. Only ids within the bound are broadcast.
     """
     chosen = (
         labels.select("doc_id", F.col(label).alias("label")).where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & learns)
@@ -94,7 +97,8 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learns: Column, lim
     bounded_batches(docs.sparkSession)
     rows = [tuple(r) for r in chosen.collect()]  # at most ``limit`` pairs of numbers
     small = docs.sparkSession.createDataFrame(rows, "doc_id long, label int")
-    return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(small), "doc_id")
+    read = docs.select("doc_id", "text").where(F.octet_length("text") <= most_bytes).join(F.broadcast(small), "doc_id")
+    return read.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, s: Settings = Settings(), limit: int = TRAINING_DOCUMENTS) -> tuple[np.ndarray, float]:
@@ -109,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, learns: Column, s: Setti
             found = _features(b, s)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("label"), pa.array([x.astype("<i4").tobytes() for x, _ in found], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in found], pa.binary())], ["doc_id", "label", "spots", "value"])
 
-    rows = labelled(docs, labels, label, learns, limit).mapInArrow(W.lean(run), "doc_id long, label int, spots binary, value binary").toArrow().to_pylist()
+    rows = labelled(docs, labels, label, learns, limit, TRAINING_BYTES).mapInArrow(W.lean(run), "doc_id long, label int, spots binary, value binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (int(W.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0]), r["spots"]))
     found = follow_the_leader([(np.frombuffer(r["spots"], "<i4"), np.frombuffer(r["value"], "<f4"), r["label"]) for r in rows], s)
     del rows

@@ -70,3 +70,31 @@ def test_insult_of_ordinary_words(spark):
 def test_insult_that_clean_documents_quote(spark):
     rows = documents(2, 900, "zgrubnok", lambda rng: ["zgrubnok"] if rng.random() < 0.02 else [])
     assert min(accuracy(spark, rows, 600)) >= 0.9
+
+
+def test_mislabelled_clean_documents(spark):
+    """Clean documents that hold the insult by mistake of the label don't bar it."""
+    rows = documents(4, 900, "zgrubnok", lambda rng: [])
+    wrong = [(10_000 + k, text, 0) for k, (_, text, toxic) in enumerate(documents(5, 40, "zgrubnok", lambda rng: [])) if toxic][:3]
+    assert min(accuracy(spark, rows, 600)) >= 0.9
+    docs = [*wrong, *rows]
+    assert min(accuracy(spark, [(k, t, y) for k, (_, t, y) in enumerate(docs)], 600)) >= 0.9
+
+
+def test_copies_of_a_toxic_document(spark):
+    """Words that only copies of one toxic document hold don't become insults."""
+    rows = documents(6, 900, "zgrubnok", lambda rng: [])
+    copy = next(t for _, t, y in rows if y)
+    rows = [(k, t, y) for k, (t, y) in enumerate([(copy, 1)] * 30 + [(t, y) for _, t, y in rows])]
+    assert min(accuracy(spark, rows, 630)) >= 0.9
+
+
+def test_held_out_labels(spark):
+    """Rows of ``labels.toxic`` that the machine doesn't learn from. Some toxic ones hold no insult (about 4 % at sf0.1)."""
+    from tessera.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").select("doc_id", "toxic")
+    found = queries.op6_toxicity(spark, folder).where("held_out").join(labels, "doc_id").toPandas()
+    toxic = found["toxic"] == 1
+    assert found["predicted"][toxic].mean() >= 0.9 and found["predicted"][~toxic].mean() <= 0.02
