@@ -2,7 +2,10 @@
 texts; long matches are chained into covered spans of the templates.
 
 Words that occur in no template can neither extend nor begin a match, so a text is cut
-into stretches of known tokens first; the automaton reads only those.
+into stretches of known tokens first; the automaton reads only those. A template is one
+passage of a licence notice. A match stands at places of the text and of a template; a
+chain goes up in both, so that repeated or reordered pieces add nothing, and its cover is
+the number of places of the template that it matches.
 """
 
 from __future__ import annotations
@@ -18,17 +21,48 @@ from tessera.llm.common import bounded_batches
 #: Fixed values of the contract: phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
-#: Well-known sentences of public licence notices and their labels.
+#: Passages of well-known public licence notices, by label.
 TEMPLATES = {
-    "apache": ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",),
-    "mit": ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "released under the mit license"),
-    "gpl": ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",),
-    "lgpl": ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
+    "apache": (
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+    "mit": (
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
+        "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+        "released under the mit license",
+    ),
+    "gpl": (
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
+        "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "you should have received a copy of the gnu general public license along with this program if not see",
+    ),
+    "lgpl": (
+        "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+        "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details",
+        "you should have received a copy of the gnu lesser general public license along with this library if not see",
+    ),
+    "bsd": (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+        "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed",
+    ),
+    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0", "if a copy of the mpl was not distributed with this file you can obtain one at"),
     "cc-by": ("this work is licensed under a creative commons attribution 4 0 international license", "licensed under cc by 4 0"),
-    "unlicense": ("this is free and unencumbered software released into the public domain",),
-    "isc": ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",),
+    "unlicense": (
+        "this is free and unencumbered software released into the public domain",
+        "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    ),
+    "isc": (
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness",
+    ),
 }
 
 #: A match of at least this many words takes part in a chain ...
@@ -51,38 +85,36 @@ def words_of(text: str | None) -> list[bytes]:
 
 @dataclass
 class SuffixAutomaton:
-    """Of several token sequences. A state stands for a set of end places; ``origin`` keeps the first of them."""
+    """Of several token sequences. A state stands for a set of substrings with the same end places; ``ends`` has these as (sequence, place)."""
 
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
     link: list[int] = field(default_factory=lambda: [-1])
     length: list[int] = field(default_factory=lambda: [0])
-    origin: list[tuple[int, int]] = field(default_factory=lambda: [(-1, -1)])
-    owners: list[set[int]] = field(default_factory=lambda: [set()])
+    ends: list[list[tuple[int, int]]] = field(default_factory=lambda: [[]])
 
-    def _state(self, length: int, step: dict[int, int], link: int, origin: tuple[int, int]) -> int:
+    def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.origin.append(origin)
-        self.owners.append(set())
+        self.ends.append([])
         return len(self.step) - 1
 
     def _split(self, p: int, token: int, q: int) -> int:
-        copy = self._state(self.length[p] + 1, dict(self.step[q]), self.link[q], self.origin[q])
+        copy = self._state(self.length[p] + 1, dict(self.step[q]), self.link[q])
         self.link[q] = copy
         while p >= 0 and self.step[p].get(token) == q:
             self.step[p][token] = copy
             p = self.link[p]
         return copy
 
-    def add(self, tokens: Sequence[int], owner: int) -> None:
+    def add(self, tokens: Sequence[int]) -> None:
         last = 0
-        for at, token in enumerate(tokens):
+        for token in tokens:
             q = self.step[last].get(token)
             if q is not None:
                 last = q if self.length[q] == self.length[last] + 1 else self._split(last, token, q)
             else:
-                new = self._state(self.length[last] + 1, {}, 0, (owner, at))
+                new = self._state(self.length[last] + 1, {}, 0)
                 p = last
                 while p >= 0 and token not in self.step[p]:
                     self.step[p][token] = new
@@ -92,15 +124,15 @@ class SuffixAutomaton:
                     self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, token, q)
                 last = new
 
-    def finish(self, sequences: Sequence[Sequence[int]]) -> SuffixAutomaton:
-        """Which sequences hold each state's substrings."""
+    def finish(self, sequences: Sequence[Sequence[int]], shortest: int) -> SuffixAutomaton:
+        """Notes the end places of all states that hold a substring of ``shortest`` tokens."""
         for owner, tokens in enumerate(sequences):
             state = 0
-            for token in tokens:
+            for at, token in enumerate(tokens):
                 state = self.step[state][token]
                 up = state
-                while up > 0 and owner not in self.owners[up]:
-                    self.owners[up].add(owner)
+                while up > 0 and self.length[up] >= shortest:
+                    self.ends[up].append((owner, at))
                     up = self.link[up]
         return self
 
@@ -127,9 +159,9 @@ class Scanner:
         self.labels = [label for _, label, _ in named]
         self.is_phrase = [base for _, _, base in named]
         self.automaton = SuffixAutomaton()
-        for owner, tokens in enumerate(self.sequences):
-            self.automaton.add(tokens, owner)
-        self.automaton.finish(self.sequences)
+        for tokens in self.sequences:
+            self.automaton.add(tokens)
+        self.automaton.finish([() if base else tokens for tokens, base in zip(self.sequences, self.is_phrase, strict=True)], MIN_MATCH)
         #: State at which a phrase has been read whole -> the phrases, longest first.
         self.phrase_end: dict[int, list[int]] = {}
         for owner, tokens in enumerate(self.sequences):
@@ -163,8 +195,7 @@ class Scanner:
                 end += 1
             stretch = known[at : numbered[end] + 1]
             k = end + 1
-            if len(stretch) >= 2:
-                self._stretch(at, stretch, places, matches)
+            self._stretch(at, stretch, places, matches)
         return n, places, self._chains(matches)
 
     def _stretch(self, at: int, stretch: list[int], places: list, matches: list) -> None:
@@ -181,24 +212,70 @@ class Scanner:
             matches.append(before)
 
     def _chains(self, matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int, float]]:
-        """Chains maximal matches of one template that follow each other in the text within MAX_GAP words."""
-        runs: dict[int, list[list[int]]] = {}
+        """Spans (owner, first, last, cover) of the best chains. Matches come in the order of their ends, and so of their begins.
+
+        A span that overlaps one of more matched places, or of as many and a larger cover, is left out.
+        """
+        pieces: dict[int, list[tuple[int, int, int]]] = {}
         for state, length, end in matches:
-            first = end - length + 1
-            for owner in self.automaton.owners[state]:
-                if self.is_phrase[owner]:
-                    continue
-                chain = runs.setdefault(owner, [])
-                if chain and first <= chain[-1][1] + MAX_GAP + 1:
-                    chain[-1][2] += max(0, end - max(first, chain[-1][1] + 1) + 1)
-                    chain[-1][1] = end
-                else:
-                    chain.append([first, end, length])
+            for owner, place in self.automaton.ends[state]:
+                pieces.setdefault(owner, []).append((end, place, length))
         spans = []
-        for owner, chain in runs.items():
+        for owner, mine in pieces.items():
             size = len(self.sequences[owner])
-            spans += [(owner, a, b, min(1.0, covered / size)) for a, b, covered in chain if covered >= MIN_COVER * size]
-        return sorted(spans, key=lambda s: (s[1], s[0]))
+            spans += [(covered, first, last, covered / size, owner) for covered, first, last in best_chains(mine) if covered >= MIN_COVER * size]
+        out = []
+        for run in _apart(spans):
+            taken: list[tuple] = []
+            for span in sorted(run, key=lambda s: (-s[0], -s[3], s[1], s[4])):
+                if not any(span[1] <= t[2] and t[1] <= span[2] and (t[0], t[3]) > (span[0], span[3]) for t in taken):
+                    taken.append(span)
+            out += [(owner, first, last, cover) for _, first, last, cover, owner in taken]
+        return sorted(out, key=lambda s: (s[1], s[0]))
+
+
+def best_chains(pieces: list[tuple[int, int, int]], gap: int = MAX_GAP) -> list[tuple[int, int, int]]:
+    """(matched places, first word, last word) of chains of pieces (last word in the text, last place in the template, length).
+
+    Pieces come in the order of their last words. A chain goes up in the text and in the template and skips ``gap`` words of
+    the text at most between two pieces; what a piece shares with the one before it counts once. Of chains that overlap in
+    the text the one of most places is taken, the first of equal ones.
+    """
+    found: list[tuple[int, int, int]] = []
+    low = 0
+    for k, (end, place, length) in enumerate(pieces):
+        first = end - length + 1
+        while pieces[low][0] < first - gap - 1:
+            low += 1
+        best = (length, -first)
+        for i in range(low, k):
+            other_end, other_place, _ = pieces[i]
+            gain = length - max(0, other_end - first + 1, other_place - (place - length))
+            if other_end < end and other_place < place and gain > 0:
+                best = max(best, (found[i][0] + gain, -found[i][1]))
+        found.append((best[0], -best[1], end))
+    out: list[tuple[int, int, int]] = []
+    for run in _apart(found):
+        taken: list[tuple[int, int, int]] = []
+        for chain in sorted(run, key=lambda c: (-c[0], c[1], c[2])):
+            if all(chain[1] > t[2] or t[1] > chain[2] for t in taken):
+                taken.append(chain)
+        out += taken
+    return out
+
+
+def _apart(chains: list[tuple]) -> Iterator[list[tuple]]:
+    """Tuples of anything, first and last word, in runs of such as reach each other in the text."""
+    run: list[tuple] = []
+    reach = -1
+    for chain in sorted(chains, key=lambda c: c[1]):
+        if run and chain[1] > reach:
+            yield run
+            run = []
+        run.append(chain)
+        reach = max(reach, chain[2])
+    if run:
+        yield run
 
 
 def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mapping[str, Sequence[str]] = TEMPLATES) -> DataFrame:
@@ -208,7 +285,8 @@ def scan(docs: DataFrame, phrases: Mapping[str, str] = PHRASES, templates: Mappi
     texts count as empty, rows with a null doc_id and repeated rows stay, other columns
     are ignored, an empty table gives an empty result. Labels are distinct, sorted and
     joined by commas; without labels they are empty strings. Whole texts are read; each
-    row is scanned where it is read, without a shuffle.
+    row is scanned where it is read, without a shuffle. Of spans that overlap, those of most
+    matched places are given; equal ones all.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -87,6 +87,76 @@ def test_template_with_a_gap_is_one_span():
     assert not places and [(s[1], s[2]) for s in spans] == [(2, 2 + len(words) + 2)] and spans[0][3] > 0.95
 
 
+def test_one_word_phrase():
+    scanner = licences.Scanner({"mit": "mit"}, {})
+    assert scanner.scan("mit x mit") == (3, [(0, 0), (0, 2)], [])
+
+
+def test_repeats_and_reversed_pieces_cover_nothing():
+    bsd = licences.TEMPLATES["bsd"][0].split()
+    blocks = [bsd[i : i + 4] for i in range(0, len(bsd), 4)]
+    for text in ("x ".join(["licensed under the apache license "] * 6), "x ".join(["you may obtain a copy of the license "] * 3), " ".join(w for b in reversed(blocks) for w in b)):
+        assert licences.Scanner().scan(text)[2] == [], text
+
+
+def brute_spans(scanner, text):
+    """Maximal common runs by comparing all places, chains by comparing all pairs of pieces."""
+    words = licences.words_of(text)
+    templates = [(o, t) for o, (t, base) in enumerate(zip(scanner.sequences, scanner.is_phrase, strict=True)) if not base]
+    known = [scanner.vocabulary.get(w) for w in words]
+    occurs = lambda part: any(part == s[i : i + len(part)] for s in scanner.sequences for i in range(len(s) - len(part) + 1))
+    runs = []
+    for i in range(len(known)):
+        k = i
+        while k < len(known) and known[k] is not None and occurs(known[i : k + 1]):
+            k += 1
+        if k - i >= licences.MIN_MATCH and not (i and known[i - 1] is not None and occurs(known[i - 1 : k])):
+            runs.append((i, k))
+    spans = []
+    for owner, t in templates:
+        pieces = [(i, k, p) for i, k in runs for p in range(len(t) - (k - i) + 1) if known[i:k] == t[p : p + k - i]]
+        chains = []
+        for i, k, p in pieces:
+            options = [(k - i, i)]
+            for (a, z, q), (n, begin) in zip(pieces, chains, strict=False):
+                shared = max(0, z - i, q + z - a - p)
+                if z < k and q + z - a < p + k - i and i - z <= licences.MAX_GAP and k - i > shared:
+                    options.append((n + k - i - shared, begin))
+            chains.append(max(options, key=lambda c: (c[0], -c[1])))
+        mine = []
+        for n, begin, end in sorted([(n, begin, k - 1) for (n, begin), (_, k, _) in zip(chains, pieces, strict=True)], key=lambda c: (-c[0], c[1], c[2])):
+            if all(begin > z or end < a for _, a, z in mine):
+                mine.append((n, begin, end))
+        spans += [(n, n / len(t), a, z, owner) for n, a, z in mine if n >= licences.MIN_COVER * len(t)]
+    better = lambda s: any(s[2] <= t[3] and t[2] <= s[3] and (t[0], t[1]) > (s[0], s[1]) and not better(t) for t in spans)
+    return sorted(((o, a, z, c) for _, c, a, z, o in (s for s in spans if not better(s))), key=lambda s: (s[1], s[0]))
+
+
+def test_spans_labels_and_score_match_brute_force(spark, docs_of):
+    rng, scanner = random.Random(3), licences.Scanner()
+    whole = [t.split() for ts in licences.TEMPLATES.values() for t in ts]
+
+    def piece():
+        t = rng.choice(whole)
+        a = rng.randrange(len(t))
+        cut = rng.choice([t, t[a : a + rng.randrange(3, 30)], t[a:] + t[:a], ["x1"] * rng.randrange(1, 12), rng.choice(list(licences.PHRASES)).split()])
+        return [w for w in cut if rng.random() > 0.03]
+
+    rows = [(i, " ".join(w for _ in range(rng.randrange(1, 7)) for w in piece())) for i in range(120)]
+    rows += [(500, rows[0][1]), (500, rows[0][1]), (None, rows[1][1]), (501, None), (502, "")]
+    found = licences.scan(docs_of(rows)).collect()
+    named = 0
+    for r, (i, text) in zip(sorted(found, key=repr), sorted(rows, key=lambda x: repr(next(r for r in found if r["doc_id"] == x[0]))), strict=True):
+        assert r["doc_id"] == i
+        spans = brute_spans(scanner, text)
+        places = scanner.scan(text)[1]
+        assert [(s["label"], s["first_word"], s["last_word"], s["cover"]) for s in r["spans"]] == [(scanner.labels[o], a, z, c) for o, a, z, c in spans]
+        assert r["labels"] == ",".join(sorted({scanner.labels[o] for o, _ in places} | {scanner.labels[o] for o, *_ in spans}))
+        assert r["score"] == (1.0 if places else max((c for *_, c in spans), default=0.0))
+        named += bool(spans)
+    assert named > 60
+
+
 # ---- archives ----
 
 
