@@ -1,147 +1,187 @@
 """Language identification by words first: a known word is scored by its log frequency in each language; an
 unknown word falls back to its character n-grams, the longest order of which any is known.
 
-Words are runs of letters in lower case, n-grams include the word's edges. The tables
-are counted where the documents are read and added up by Spark; the driver gets the most
-frequent entries of each order, so the model has the same size for any input.
+Words are runs of letters in lower case, n-grams include the word's edges. Words and n-grams are
+known by 64-bit hashes. The tables hold all that the training documents hold; these are a number of documents of
+each language, so a rare language is learned like a frequent one, and their size is bounded whatever the input.
 """
 
 from __future__ import annotations
 
-import math
-import re
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, written
+from tessera.llm import words as W
+from tessera.llm.common import bounded_batches
 
-#: The tables are counted on this many documents at most, those with the smallest hash of their id.
-TRAINING_DOCUMENTS = 4_096
-#: Orders of character n-grams, in the order in which an unknown word falls back, and entries kept of each.
+#: The tables are counted on this many documents of each language at most, those with the smallest hash of their id,
+#: and on texts of at most so many bytes. All texts are predicted whole.
+DOCUMENTS_EACH = 1_024
+TRAINING_BYTES = 8_192
+#: Orders of character n-grams, in the order in which an unknown word falls back.
 ORDERS = (5, 4, 3, 2, 1)
-MOST_WORDS = 100_000
-MOST_GRAMS = 30_000
-#: A known word was seen this often at least.
-LEAST_SEEN = 2
 #: The text counts as this many words at most when its score becomes a probability: words of a text aren't independent.
 CERTAIN_WORDS = 20.0
 UNDEFINED = "und"
 
-_LETTERS = re.compile(r"[^\W\d_]+")
-#: Words that a worker remembers; beyond that it forgets the unknown ones.
-_REMEMBERED = 200_000
-
 RESULT = "doc_id long, lang_pred string, score double"
 
+_BEGIN, _END = 1, 2
+_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+
+
+def letters(texts: pa.Array) -> pa.Array:
+    """Texts in lower case in which a space stands for what is no letter; null texts are empty."""
+    return pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string()).fill_null("")), r"[^\pL]+", " ")
+
 
-def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case. Characters that only count as word characters (superscripts) are no words alone."""
-    found = _LETTERS.findall(text.lower()) if text else []
-    return found if any(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
+def characters(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words, each between marks of its begin and end; and the words' offsets."""
+    points = np.frombuffer(raw.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    begin, size = before[start], before[end] - before[start]
+    at = np.concatenate([[0], np.cumsum(size + 2)])
+    out = np.full(at[-1], _BEGIN, np.uint64)
+    out[at[1:] - 1] = _END
+    inner = np.repeat(at[:-1] + 1 - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+    out[inner] = points[np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+    return out, at
 
 
-def grams(word: str, n: int) -> list[str]:
-    marked = f"^{word}$" if n > 1 else word
-    return [marked[i : i + n] for i in range(len(marked) - n + 1)]
+def grams(points: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each n-gram of the words, and the word that it stands in. N-grams of one character are without the marks."""
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    where = np.flatnonzero((points > _END) if n == 1 else (np.arange(len(points)) + n <= at[1:][owner]))
+    found = points[where]
+    for k in range(1, n):
+        found = found * _FACTOR + points[where + k]
+    return W.mix(found), owner[where]
 
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, their log shares of the training words, and for order 0 (words) and the n-gram orders a row of log frequencies for each entry."""
+    """Languages, the logs of their shares of the documents, and for order 0 (words) and the n-gram orders the hashes of
+    all entries in order and a row of log frequencies for each."""
 
     langs: list[str]
     prior: np.ndarray
-    rows: dict[int, dict[str, int]]
+    keys: dict[int, np.ndarray]
     logs: dict[int, np.ndarray]
 
+    def find(self, n: int, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the entries, and whether each is known."""
+        if not len(self.keys[n]):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        spot = np.minimum(np.searchsorted(self.keys[n], hashes), len(self.keys[n]) - 1)
+        return spot, self.keys[n][spot] == hashes
 
-def fit(docs: DataFrame, learns: Column, limit: int = TRAINING_DOCUMENTS) -> Model:
-    """Learns from text and lang of at most ``limit`` rows that meet ``learns`` and have an id, a text and a lang."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learns)
-    last = known.select(F.xxhash64("doc_id").alias("h")).orderBy("h").limit(limit).agg(F.max("h")).first()[0]
-    if last is None:
+
+def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
+    """Learns from text and lang of at most ``each`` documents of a language that meet ``learns`` and have an id, a text and a lang.
+
+    Of rows that share id and language the smallest text is read. Counts are made where the
+    documents are read and added up by Spark; the driver gets one row for each entry and language.
+    """
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learns).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("__h"))
+    may = known.where(F.octet_length("text") <= TRAINING_BYTES)
+    ranked = may.select("lang", "__h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).where(F.col("r") <= each)
+    last = ranked.groupBy("lang").agg(F.max("__h").alias("__last")).collect()
+    if not last:
         return Model([], np.zeros(0), {}, {})
+    bound = docs.sparkSession.createDataFrame([tuple(r) for r in last], "lang string, __last long")
+    chosen = may.join(F.broadcast(bound), "lang").where("__h <= __last").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: dict[str, Counter] = defaultdict(Counter)
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                found[lang].update(words_of(text))
-            for lang, words in found.items():
-                yield _counted(lang, 0, words)
-                for n in ORDERS:
-                    counts: Counter = Counter()
-                    for w, k in words.items():
-                        for g in grams(w, n):
-                            counts[g] += k
-                    yield _counted(lang, n, counts)
-
-    counted = known.where(F.xxhash64("doc_id") <= last).select("lang", "text").mapInArrow(run, "lang string, n int, entry string, seen long").groupBy("n", "entry", "lang").agg(F.sum("seen").alias("seen"))
-    counted = written(counted, "language-counts")  # read once for each order
-    by_entry = counted.groupBy("n", "entry").agg(F.sum("seen").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "seen"))).alias("seen"))
-    totals = {(r["n"], r["lang"]): r["seen"] for r in counted.groupBy("n", "lang").agg(F.sum("seen").alias("seen")).collect()}
-    langs = sorted({lang for _, lang in totals})
-    prior = np.array([totals[0, x] for x in langs], float) if langs else np.zeros(0)
-    rows, logs = {}, {}
+            langs = np.array(b.column(0).to_pylist(), object)
+            texts = letters(b.column(1))
+            for lang in sorted(set(langs)):
+                for _, _, raw, at in W.chunks(texts.filter(pa.array(langs == lang))):
+                    start, end, _ = W.places(raw, at)
+                    if not len(start):
+                        continue
+                    found, one, seen = np.unique(W.word_hashes(raw, start, end), return_index=True, return_counts=True)
+                    yield _counted(lang, 0, found, seen)
+                    points, ends = characters(raw, start[one], end[one])
+                    for n in ORDERS:
+                        h, owner = grams(points, ends, n)
+                        entry, back = np.unique(h, return_inverse=True)
+                        yield _counted(lang, n, entry, np.bincount(back, seen[owner], len(entry)).astype(np.int64))
+
+    bounded_batches(docs.sparkSession)
+    counted = chosen.mapInArrow(W.lean(run), "lang string, n int, entry long, seen long").groupBy("n", "entry", "lang").agg(F.sum("seen").alias("seen")).toArrow()
+    langs = sorted(r["lang"] for r in last)
+    share = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    prior = np.array([share[x] for x in langs], float)
+    n_of, entry, seen = counted["n"].to_numpy(), counted["entry"].to_numpy().view(np.uint64), counted["seen"].to_numpy()
+    lang_of = pc.index_in(counted["lang"], pa.array(langs)).to_numpy()
+    keys, logs = {}, {}
     for n in (0, *ORDERS):
-        most = by_entry.where((F.col("n") == n) & (F.col("total") >= LEAST_SEEN)).orderBy(F.desc("total"), "entry").limit(MOST_GRAMS if n else MOST_WORDS).select("entry", "seen").collect()
-        rows[n] = {r["entry"]: i for i, r in enumerate(most)}
-        table = np.array([[r["seen"].get(x, 0) for x in langs] for r in most], float).reshape(len(most), len(langs))
-        size = np.array([totals.get((n, x), 0) for x in langs], float)
-        logs[n] = np.log((table + 0.1) / (size + 0.1 * (len(most) + 1)))
-    return Model(langs, np.log(prior / prior.sum()), rows, logs)
-
-
-def _counted(lang: str, n: int, counts: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([lang] * len(counts), pa.string()), pa.array([n] * len(counts), pa.int32()), pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "n", "entry", "seen"])
-
-
-class Scorer:
-    """Scores words by the model; it remembers the rows of unknown words for as long as they fit."""
-
-    def __init__(self, m: Model):
-        self.m = m
-        self.known = m.rows.get(0, {})
-        self.unknown: dict[str, np.ndarray] = {}
-
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean log frequency of the n-grams of the longest order of which any is known; 0 for all languages without any."""
-        for n in ORDERS:
-            rows = self.m.rows[n]
-            if found := [r for r in map(rows.get, grams(word, n)) if r is not None]:
-                return self.m.logs[n][found].mean(0)
-        return np.zeros(len(self.m.langs))
-
-    def __call__(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not words or not self.m.langs:
-            return UNDEFINED, 0.0
-        counts = Counter(words)
-        rows, weights, total = [], [], np.zeros(len(self.m.langs))
-        for w, k in counts.items():
-            row = self.known.get(w)
-            if row is not None:
-                rows.append(row)
-                weights.append(k)
-            else:
-                log = self.unknown.get(w)
-                if log is None:
-                    if len(self.unknown) >= _REMEMBERED:
-                        self.unknown.clear()
-                    log = self.unknown[w] = self.backoff(w)
-                total += k * log
-        if rows:
-            total += np.array(weights, float) @ self.m.logs[0][rows]
-        value = total / len(words) * min(len(words), CERTAIN_WORDS) + self.m.prior
-        value = np.exp(value - value.max())
-        best = int(value.argmax())
-        return self.m.langs[best], float(min(1.0, value[best] / math.fsum(value)))
+        mine = n_of == n
+        keys[n], spot = np.unique(entry[mine], return_inverse=True)
+        table = np.zeros((len(keys[n]), len(langs)))
+        table[spot, lang_of[mine]] = seen[mine]
+        logs[n] = np.log((table + 0.1) / (table.sum(0) + 0.1 * (len(table) + 1))).astype(np.float32)
+    return Model(langs, np.log(prior / prior.sum()), keys, logs)
+
+
+def _counted(lang: str, n: int, entries: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(np.full(len(seen), n, np.int32)), pa.array(entries.view(np.int64)), pa.array(seen.astype(np.int64))], ["lang", "n", "entry", "seen"])
+
+
+def backoff(m: Model, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each word the mean log frequency of the n-grams of the longest order of which any is known; 0 for all languages without any."""
+    out = np.zeros((len(start), len(m.langs)))
+    left = np.arange(len(start))
+    points, at = characters(raw, start, end)
+    for n in ORDERS:
+        if not len(left):
+            break
+        h, owner = grams(points, at, n)
+        spot, known = m.find(n, h)
+        spot, owner = spot[known], owner[known]
+        hits = np.bincount(owner, minlength=len(left))
+        rows = m.logs[n][spot]
+        sums = np.stack([np.bincount(owner, rows[:, k], len(left)) for k in range(len(m.langs))], 1)
+        good = hits > 0
+        out[left[good]] = sums[good] / hits[good, None]
+        keep = np.repeat(~good, np.diff(at))
+        points, at, left = points[keep], np.concatenate([[0], np.cumsum(np.diff(at)[~good])]), left[~good]
+    return out
+
+
+def languages(texts: pa.Array, m: Model) -> tuple[list[str], np.ndarray]:
+    """Language and probability of each row."""
+    names, found = [UNDEFINED] * len(texts), np.zeros(len(texts))
+    if not m.langs:
+        return names, found
+    for row, _, raw, at in W.chunks(letters(texts)):
+        start, end, first = W.places(raw, at)
+        if not len(start):
+            continue
+        h, one, back = np.unique(W.word_hashes(raw, start, end), return_index=True, return_inverse=True)
+        spot, known = m.find(0, h)
+        value = np.zeros((len(h), len(m.langs)))
+        value[known] = m.logs[0][spot[known]]
+        unknown = one[~known]
+        value[~known] = backoff(m, raw, start[unknown], end[unknown])
+        size = np.diff(first)
+        rows = np.flatnonzero(size)
+        size = size[rows, None]
+        total = np.stack([np.add.reduceat(value[back, k], first[rows]) for k in range(len(m.langs))], 1)
+        total = total / size * np.minimum(size, CERTAIN_WORDS) + m.prior
+        total = np.exp(total - total.max(1, keepdims=True))
+        best = total.argmax(1)
+        found[row + rows] = total[np.arange(len(rows)), best] / total.sum(1)
+        for i, k in zip((row + rows).tolist(), best.tolist(), strict=True):
+            names[i] = m.langs[k]
+    return names, np.minimum(found, 1.0)
 
 
 def predict(docs: DataFrame, m: Model) -> DataFrame:
@@ -154,9 +194,8 @@ def predict(docs: DataFrame, m: Model) -> DataFrame:
     shared = bounded_batches(docs.sparkSession).sparkContext.broadcast(m)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+            names, score = languages(b.column(1), shared.value)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(names, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+    return docs.select("doc_id", "text").mapInArrow(W.lean(run), RESULT)
