@@ -5,9 +5,9 @@ import pytest
 from tessera.llm import decontamination
 
 
-@pytest.mark.parametrize("literal", [200_000, 0])
-def test_null_item_id(spark, docs_of, monkeypatch, literal):
-    monkeypatch.setattr(decontamination, "LITERAL_SHINGLES", literal)
+@pytest.mark.parametrize("words", [1 << 15, 1])
+def test_null_item_id(spark, docs_of, monkeypatch, words):
+    monkeypatch.setattr(decontamination, "BLOOM_WORDS", words)
     a, b = (" ".join(f"{x}{i}" for i in range(30)) for x in "ab")
     docs, bench = docs_of([(1, a), (2, b), (3, "c " * 30)]), spark.createDataFrame([(None, a), (7, b)], "item_id long, text string")
     found = decontamination.contaminated(docs, bench).collect()

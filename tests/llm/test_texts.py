@@ -7,6 +7,7 @@ import re
 import zipfile
 
 import public_tokenizers
+import duckdb
 import pytest
 from pyarrow import fs
 from pyspark.sql import functions as F
@@ -273,9 +274,9 @@ def leaked(seed, n=40):
     return rows, items
 
 
-@pytest.mark.parametrize(("seed", "literal"), [(1, 200_000), (2, 200_000), (3, 0)])
-def test_leaks_match_brute_force(spark, docs_of, monkeypatch, seed, literal):
-    monkeypatch.setattr(decontamination, "LITERAL_SHINGLES", literal)
+@pytest.mark.parametrize(("seed", "words"), [(1, 1 << 15), (2, 1 << 15), (3, 1)])
+def test_leaks_match_brute_force(spark, docs_of, monkeypatch, seed, words):  # a Bloom filter of one word lets all through
+    monkeypatch.setattr(decontamination, "BLOOM_WORDS", words)
     rows, items = leaked(seed)
     found = decontamination.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
     wanted = brute_leaks(rows, items)
@@ -295,6 +296,34 @@ def test_odd_rows_and_clean_documents(spark, docs_of):
     assert decontamination.contaminated(docs, none).count() == 0 and decontamination.keep_clean(docs_of([]), bench).count() == 0
 
 
+def test_short_items_are_found_whole(spark, docs_of):
+    items = [(1, "One"), (2, "two words"), (3, "now FOUR words here"), (4, " ".join(f"w{i}" for i in range(20))), (5, "..."), (2, "one more three")]
+    rows = [(1, "there is one."), (2, "words two"), (3, "x two words y"), (4, "says now four, words here!"), (5, " ".join(f"w{i}" for i in range(20)) + " one"), (6, "..."), (7, None), (8, "one more three")]
+    found = decontamination.contaminated(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_word"], r["similarity"]) for r in found) == [(1, 1, 2, 1.0), (3, 2, 1, 1.0), (4, 3, 1, 1.0), (5, 1, 20, 1.0), (5, 4, 0, 1.0), (8, 1, 0, 1.0), (8, 2, 0, 1.0)]
+
+
+def test_query_against_all_windows(spark):
+    """The query at sf0.01 against the best of all windows; only pairs that share no shingle, whose similarity is 0, are left out."""
+    docs, items = (duckdb.sql(f"SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'").fetchall() for t in ("documents", "benchmark"))
+    held = {i: counts(words(t)) for i, t in items}
+    wanted = {}
+    for d, text, *_ in docs:
+        w = words(text)
+        mine = counts(w)
+        for i, item in items:
+            if mine.keys() & held[i].keys():
+                size = len(words(item))
+                best = max(similarity(counts(w[s : s + size]), held[i]) for s in range(max(1, len(w) - size + 1)))
+                if best >= 0.8:
+                    wanted[d, i] = best
+    from tessera.llm import queries
+
+    found = {(r["doc_id"], r["item_id"]): r["similarity"] for r in queries.op5_decontamination(spark, "/root/testdata/sf0.01").collect()}
+    assert found.keys() <= wanted.keys() and len(found) >= 0.99 * len(wanted) > 10
+    assert all(x == pytest.approx(wanted[k], abs=0.03) for k, x in found.items())
+
+
 def test_native_plan(spark, docs_of):
     plan = decontamination.contaminated(docs_of([(1, "a b c d e f")]), spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
