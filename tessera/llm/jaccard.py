@@ -23,6 +23,7 @@ The comparison intersects whole sets. A document without words is linked with no
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
-from tessera.llm.common import written
+from tessera.llm.common import HOT_PARTS, hot_keys, spread_join, written
 from tessera.operators.components import components
 
 #: A task reports n-grams that it saw this often, in as many n-grams as it holds at once.
@@ -268,8 +269,10 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     text are one document, so one of them stays.
     """
     rows = grouped(docs, n, percent).where("n > 0").withColumn("key", F.struct(F.coalesce("doc_id", F.lit(NO_ID)), "text_hash"))
-    first = rows.groupBy("root").agg(F.min("key").alias("first"))
-    drop = written(rows.join(first, "root").where("key <> first").select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h")).distinct(), "dropped")
+    rows = written(rows.select("doc_id", "text_hash", "root", "key"), "rooted")
+    first = written(rows.groupBy("root").agg(F.min("key").alias("first"), F.count("*").alias("copies")), "roots")
+    rooted = spread_join(rows, first, "root", hot_keys(first, "root", rows.count()), [F.col("doc_id"), F.col("text_hash")])
+    drop = written(rooted.where("key <> first").select(F.col("doc_id").alias("__t_id"), F.col("text_hash").alias("__t_h")).distinct(), "dropped")
     few = drop.count() <= BROADCAST_IDS
     left = docs.join(F.broadcast(drop) if few else drop, docs["doc_id"].eqNullSafe(F.col("__t_id")) & (F.xxhash64(docs["text"]) == F.col("__t_h")), "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
@@ -287,7 +290,7 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     found = written(sets(docs, n), "sets")
     rows = found.where("n IS NOT NULL").select("doc_id", "text_hash", "n", "name", "ranges")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = rows.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n"), F.first("ranges").alias("ranges")).select("name", "first.doc_id", "first.text_hash", "n", "ranges")
+    classes = rows.where("n > 0").groupBy("name").agg(first, F.first("n").alias("n"), F.first("ranges").alias("ranges"), F.count("*").alias("copies")).select("name", "first.doc_id", "first.text_hash", "n", "ranges", "copies")
     classes = written(classes.withColumn("number", F.monotonically_increasing_id()).withColumn("label", F.coalesce("doc_id", F.lit(NO_ID) + F.pmod(F.xxhash64("name"), F.lit(NO_ID - 1)))), "classes")
     # Ids are good node numbers (small ones lead) unless classes share one.
     plain = classes.groupBy("label").count().where("count > 1").isEmpty()
@@ -311,13 +314,24 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = _joined(roots, more)
     # Last round: all pairs across components that share an n-gram and pass the filters.
     open_ = _still_open(open_.drop("root"), roots)
-    x, y = (open_.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
+    # Sizes that reach the similarity lie in the same step of a scale or in neighbouring ones (steps are a little wider than
+    # the ratio, so rounding can't part them); a hot n-gram is dealt into parts.
+    step = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
+    counts = open_.groupBy("token").agg(F.count("*").alias("copies"))
+    hot = F.broadcast(hot_keys(counts, "token", open_.count()).withColumn("hot", F.lit(True)))
+    open_ = open_.join(hot, "token", "left").withColumn("step", step)
+    x, y = (open_.select("token", "hot", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
+    x = x.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node_x"), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop("hot")
+    y = y.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
+    y = y.withColumn("part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     least = f"ceil({percent} * (n_x + n_y) / {100 + percent}D)"
     fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    cross = x.join(y, "token").where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+    cross = x.join(y, ["token", "step", "part"]).where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
     roots = _joined(roots, _linked(_likely(cross, classes, percent), docs, classes, n, percent))
     labelled = roots.join(classes.select("node", "label", "name"), "node")
-    smallest = labelled.groupBy("root").agg(F.min("label").alias("component"))
-    named = labelled.join(smallest, "root").select("name", "root", "component")
+    labelled = written(labelled.select("name", "root", "label"), "labelled")
+    smallest = written(labelled.groupBy("root").agg(F.min("label").alias("component"), F.count("*").alias("copies")), "smallest")
+    named = spread_join(labelled, smallest, "root", hot_keys(smallest, "root", labelled.count()), [F.col("name")]).select("name", "root", "component")
     settled = classes.select("name", "node", "label").join(named, "name", "left").select("name", F.coalesce("root", "node").alias("root"), F.coalesce("component", "label").alias("component"))
-    return rows.select("doc_id", "text_hash", "n", "name").join(settled, "name", "left").drop("name")
+    hot = hot_keys(classes, "name", found.count())
+    return spread_join(rows.select("doc_id", "text_hash", "n", "name"), settled, "name", hot, [F.col("doc_id"), F.col("text_hash")], "left").drop("name")

@@ -29,7 +29,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import bounded_batches, fresh_path, written
+from tessera.llm.common import bounded_batches, fresh_path, hot_keys, spread_join, written
 
 #: Equal payloads of fewer bytes are stored again rather than referred to.
 REVISIT_FROM_BYTES = 100
@@ -228,13 +228,13 @@ def with_references(pages: DataFrame) -> DataFrame:
     Of rows with equal payloads of REVISIT_FROM_BYTES or more, the smallest page_id (null
     ids come last) is the response; the others refer to it. Rows that repeat that page_id
     are responses too. A null html counts as empty. The ids of each digest are
-    pre-aggregated before the shuffle; a digest that many rows share is split by the
-    adaptive skew join.
+    pre-aggregated before the shuffle; shorter payloads, and rows of a digest that many
+    share, are dealt over many tasks.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload")).withColumn("digest", F.sha2("payload", 256))
-    long_enough = F.octet_length("payload") >= REVISIT_FROM_BYTES
-    first = rows.where(long_enough).groupBy(F.col("digest").alias("same")).agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    return rows.join(first, (F.col("digest") == F.col("same")) & long_enough, "left").select(
+    rows = rows.withColumn("same", F.when(F.octet_length("payload") >= REVISIT_FROM_BYTES, F.col("digest")))
+    first = written(rows.where("same IS NOT NULL").groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "first-pages")
+    return spread_join(rows, first, "same", hot_keys(first, "same", pages.count()), [F.col("page_id"), F.col("url")], "left").select(
         "page_id", "url", "payload", "digest", F.when(F.col("page_id").eqNullSafe(F.col("first")), None).otherwise(F.col("first")).alias("refers_to"))
 
 
