@@ -308,25 +308,24 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = _bounded(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
     # Second round: the same with neighbours at random, among n-grams that still lie in two components.
     open_ = _still_open(shared.drop("near", "next"), roots)
-    met = _with_neighbours(open_.where(F.pmod("token", F.lit(LOOKED_AT)) == 0), [F.xxhash64("node", "token")])
+    some = open_.where(F.pmod("token", F.lit(LOOKED_AT)) == 0)
+    hot = F.broadcast(hot_keys(some.groupBy("token").agg(F.count("*").alias("copies")), "token", some.count()).withColumn("hot", F.lit(True)))
+    some = some.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("token", "node"), F.lit(HOT_PARTS)).cast("int") + 1).otherwise(F.col("salt"))).drop("hot")
+    met = _with_neighbours(some, [F.xxhash64("node", "token")])
     pairs = _most_met(met, across=True)
     more = _linked(_likely(pairs, classes, percent), docs, classes, n, percent)
     roots = _joined(roots, more)
     # Last round: all pairs across components that share an n-gram and pass the filters.
     open_ = _still_open(open_.drop("root"), roots)
     # Sizes that reach the similarity lie in the same step of a scale or in neighbouring ones (steps are a little wider than
-    # the ratio, so rounding can't part them); a hot n-gram is dealt into parts.
+    # the ratio, so rounding can't part them).
     step = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
-    counts = open_.groupBy("token").agg(F.count("*").alias("copies"))
-    hot = F.broadcast(hot_keys(counts, "token", open_.count()).withColumn("hot", F.lit(True)))
-    open_ = open_.join(hot, "token", "left").withColumn("step", step)
-    x, y = (open_.select("token", "hot", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
-    x = x.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node_x"), F.lit(HOT_PARTS)).cast("int")).otherwise(0)).drop("hot")
+    open_ = open_.withColumn("step", step)
+    x, y = (open_.select("token", "step", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "root"))) for s in "xy")
     y = y.withColumn("step", F.explode(F.array(*(F.col("step") + k for k in (-1, 0, 1)))))
-    y = y.withColumn("part", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
     least = f"ceil({percent} * (n_x + n_y) / {100 + percent}D)"
     fits = f"100 * least(n_x, n_y) >= {percent} * greatest(n_x, n_y)"
-    cross = x.join(y, ["token", "step", "part"]).where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
+    cross = x.join(y, ["token", "step"]).where("root_x < root_y").where(fits).where(f"least(n_x - pos_x, n_y - pos_y) >= {least}").select(F.col("node_x").alias("x"), F.col("node_y").alias("y")).distinct()
     roots = _joined(roots, _linked(_likely(cross, classes, percent), docs, classes, n, percent))
     labelled = roots.join(classes.select("node", "label", "name"), "node")
     labelled = written(labelled.select("name", "root", "label"), "labelled")
