@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import bitsliced, bpe, decontamination, jaccard, language, licences, quality, substrings, toxicity, warc
 from tessera.llm.common import table
+from tessera.llm.oracles import ORACLES
 
 
 def fold(of: int) -> Column:
@@ -66,20 +67,14 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10_licence_scan that SQL can express."""
+    return op10_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def queries() -> dict:
-    return {k: f for k, f in globals().items() if k.startswith("op")}
+    return {k: f for k, f in globals().items() if k.startswith("op")} | {"licence_base_places": licence_base_places}
 
 
 def oracle_sql() -> dict:
-    return {
-        "op1_topk_search": """
-            WITH v AS (
-                SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
-                FROM embeddings
-                WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-            s AS (
-                SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-                FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-            r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
-            SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
-    }
+    return dict(ORACLES)
