@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import SPLITS, hashed_order
+from tessera.tables import written
 
 # Fixed value.
 HEALTHY_STRATUM = "healthy_control"
@@ -29,11 +30,13 @@ def greedy_splits(groups: DataFrame, group: str, size: str, stratum_column: str,
     random order; each goes to the split with the largest (target - current) / max(1, target), ties to train, val, test.
 
     The fold reads one narrow row for each group, in order, and streams: it holds three
-    counters. Everything else about the groups stays where it is.
+    counters. The narrow rows are written first, so one task reads them and nothing above them.
     """
-    total = groups.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    narrow = groups.select(F.col(group).cast("string").alias("g"), F.col(size).cast("long").alias("n"), F.col(stratum_column).alias("s"))
+    narrow = written(narrow.withColumn("o", hashed_order(F.col("g"), seed)), "split-groups")
+    total = narrow.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     wanted = targets(int(total), train, val)
-    ordered = groups.select(F.col(group).cast("string").alias("g"), F.col(size).cast("long").alias("n"), F.col(stratum_column).alias("s")).withColumn("o", hashed_order(F.col("g"), seed)).coalesce(1).sortWithinPartitions("s", "o", "g").select("g", "n")
+    ordered = narrow.coalesce(1).sortWithinPartitions("s", "o", "g").select("g", "n")
 
     def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = dict.fromkeys(SPLITS, 0)
@@ -71,8 +74,8 @@ def healthy_allowed(diseased: int, ratio: float, pool: int) -> int:
 def healthy_cap(rows: DataFrame, key: str, healthy: str, ratio: float, seed: int = 42) -> DataFrame:
     """Column ``capped``: healthy records beyond the allowed number, in a repeatable random order.
 
-    The order's threshold value is found by a bounded top-k where few are allowed, so no
-    window runs over all rows: rows after it are capped.
+    Healthy records are dealt by range of the order; counts of the ranges tell which holds the
+    last allowed record, and only that range is sorted. Rows after that record are capped.
     """
     counts = rows.agg(F.count_if(~F.col(healthy)).alias("d"), F.count_if(F.col(healthy)).alias("h")).first()
     allowed = healthy_allowed(counts["d"], ratio, counts["h"])
@@ -81,6 +84,13 @@ def healthy_cap(rows: DataFrame, key: str, healthy: str, ratio: float, seed: int
     order = hashed_order(F.col(key), seed)
     if allowed <= 0:
         return rows.withColumn("capped", F.col(healthy))
-    last = rows.where(F.col(healthy)).select(order.alias("o"), F.col(key).alias("k")).orderBy("o", "k").offset(allowed - 1).limit(1)
+    dealt = rows.where(F.col(healthy)).select(order.alias("o"), F.col(key).alias("k")).repartitionByRange("o", "k").withColumn("part", F.spark_partition_id())
+    dealt, before, chosen = written(dealt, "healthy"), 0, None
+    for part, n in sorted(tuple(r) for r in dealt.groupBy("part").count().collect()):  # one row a range
+        chosen = part
+        if before + n >= allowed:
+            break
+        before += n
+    last = dealt.where(F.col("part") == chosen).orderBy("o", "k").offset(allowed - before - 1).limit(1)
     beyond = F.struct(order.alias("o"), F.col(key).alias("k")) > F.struct("__o", "__k")
     return rows.crossJoin(F.broadcast(last.select(F.col("o").alias("__o"), F.col("k").alias("__k")))).withColumn("capped", F.col(healthy) & beyond).drop("__o", "__k")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scalars as S
 from tessera.operators import duplicates, groups, profile, splits
 from tessera.plans.registry import SPLIT, query, rounded, split_by_id
-from tessera.tables import table
+from tessera.tables import table, written
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -153,16 +153,27 @@ def edges_between_active(spark, folder):
 # ---- splits ----
 
 
-def _split_groups(spark, folder):
-    return _grouped(spark, folder).groupBy("duplicate_group_id").agg(F.count("*").alias("n"), F.mode("lang", True).alias("lang"), F.mode("source", True).alias("source"))
+def _split_groups(grouped):
+    return grouped.groupBy("duplicate_group_id").agg(F.count("*").alias("n"), F.mode("lang", True).alias("lang"), F.mode("source", True).alias("source"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_GROUPS}, l AS (SELECT duplicate_group_id, lang, row_number() OVER (PARTITION BY duplicate_group_id ORDER BY count(*) DESC, lang) AS k FROM g WHERE lang IS NOT NULL GROUP BY 1, 2),
+    s AS (SELECT duplicate_group_id, source, row_number() OVER (PARTITION BY duplicate_group_id ORDER BY count(*) DESC, source) AS k FROM g WHERE source IS NOT NULL GROUP BY 1, 2),
+    x AS (SELECT duplicate_group_id AS g, count(*) AS n FROM g GROUP BY 1),
+    o AS (SELECT x.g, x.n, row_number() OVER (ORDER BY concat_ws('___', s.source, l.lang), md5(x.g || ':42'), x.g) AS i FROM x LEFT JOIN l ON l.duplicate_group_id = x.g AND l.k = 1 LEFT JOIN s ON s.duplicate_group_id = x.g AND s.k = 1),
+    w AS (SELECT round_even(sum(n) * 0.7::DOUBLE, 0)::BIGINT AS t, round_even(sum(n) * 0.15::DOUBLE, 0)::BIGINT AS v, sum(n)::BIGINT AS total FROM o),
+    y AS (SELECT t, v, total - t - v AS e FROM w),
+    f(i, a, b, c, pick, n) AS (SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, NULL::VARCHAR, 0::BIGINT UNION ALL
+        SELECT i + 1, a + CASE WHEN p = 'train' THEN m ELSE 0 END, b + CASE WHEN p = 'val' THEN m ELSE 0 END, c + CASE WHEN p = 'test' THEN m ELSE 0 END, p, m FROM (
+            SELECT f.i, a, b, c, o.n AS m, CASE WHEN x1 >= x2 AND x1 >= x3 THEN 'train' WHEN x2 >= x3 THEN 'val' ELSE 'test' END AS p FROM (
+                SELECT f.*, (t - a)::DOUBLE / greatest(1, t) AS x1, (v - b)::DOUBLE / greatest(1, v) AS x2, (e - c)::DOUBLE / greatest(1, e) AS x3 FROM f, y) f JOIN o ON o.i = f.i + 1))
+    SELECT pick AS benchmark_split, sum(n)::BIGINT AS n, count(*) AS groups FROM f WHERE pick IS NOT NULL GROUP BY 1""")
 def greedy_split(spark, folder):
-    """A sequential fold over groups; held against a plain Python fold in the tests."""
-    found = _split_groups(spark, folder)
+    """A sequential fold over groups."""
+    grouped = written(_grouped(spark, folder), "grouped")
+    found = _split_groups(grouped)
     ordered = found.withColumn("stratum", splits.stratum(F.col("source"), F.col("lang"), F.lit(False)))
-    rows = splits.assigned(_grouped(spark, folder), splits.greedy_splits(ordered, "duplicate_group_id", "n", "stratum"), "duplicate_group_id")
+    rows = splits.assigned(grouped, splits.greedy_splits(ordered, "duplicate_group_id", "n", "stratum"), "duplicate_group_id")
     return rows.groupBy("benchmark_split").agg(F.count("*").alias("n"), F.count_distinct("duplicate_group_id").alias("groups"))
 
 

@@ -279,6 +279,11 @@ def set_difference(spark, folder):
     return selection.missing_keys(table(spark, folder, "customer").select(F.col("c_custkey").alias("key")), table(spark, folder, "orders").select(F.col("o_custkey").alias("key")), ["key"])
 
 
+@query("SELECT doc_id AS key FROM documents EXCEPT SELECT doc_id FROM labels")
+def set_difference_of_documents(spark, folder):
+    return selection.missing_keys(table(spark, folder, "documents").select(F.col("doc_id").alias("key")), table(spark, folder, "labels").select(F.col("doc_id").alias("key")), ["key"])
+
+
 @query("SELECT doc_id, 'quality' AS kind FROM labels WHERE quality = 1 UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1")
 def row_append(spark, folder):
     rows = table(spark, folder, "labels")
