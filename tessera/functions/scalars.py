@@ -117,3 +117,13 @@ def ratio(a: Column, b: Column, other: float | None = None) -> Column:
 def hashed_order(key: Column, seed: int) -> Column:
     """A random but repeatable order of keys, the same in every SQL engine: by the MD5 of key and seed."""
     return F.md5(F.concat_ws(":", key.cast("string"), F.lit(str(seed))))
+
+
+def now_iso() -> Column:
+    """The time of the query as ISO 8601 text, without a zone, in the session's time zone."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def run_name(prefix: str, at: Column | None = None) -> Column:
+    """Name of a run: the prefix and the time (now by default) as yyyyMMdd_HHmmss."""
+    return F.concat(F.lit(prefix), F.date_format(F.current_timestamp() if at is None else at, "yyyyMMdd_HHmmss"))

@@ -41,3 +41,12 @@ def nested(image: str, total_pixels: int = GRID[0] * GRID[1], threshold: float =
     }
     direct = F.when(regression.isNotNull(), F.struct(regression.alias("direct_regression_burden"), F.col("lesion_burden").alias("segmentation_burden"), F.round(F.abs(regression - F.col("lesion_burden")), 6).alias("absolute_disagreement"))) if regression is not None else None
     return scoring.to_json(parts, {"direct_regression": direct} if direct is not None else {})
+
+
+def execution_statistics(frames: DataFrame, latency: str = "latency_ms", confidence: str = "confidence", burden: str = "burden_percent") -> DataFrame:
+    """One row: frames, effective frames a second, latencies, and statistics of confidence and burden (population deviation); 0 without frames."""
+    of = lambda c, digits, **kinds: [F.coalesce(F.round(f(F.col(c).cast("double")), digits), F.lit(0.0)).alias(f"{c}_{k}") for k, f in kinds.items()]
+    spread = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
+    latencies = {"mean": F.avg, "median": F.median, "p95": lambda c: F.percentile(c, 0.95), "min": F.min, "max": F.max}
+    seconds = F.sum(F.col(latency).cast("double")) / 1000
+    return frames.agg(F.count("*").alias("frames"), F.coalesce(F.round(F.try_divide(F.count("*").cast("double"), seconds), 2), F.lit(0.0)).alias("frames_per_second"), *of(latency, 2, **latencies), *of(confidence, 4, **spread), *of(burden, 4, **spread))

@@ -128,3 +128,30 @@ def box_plot(df: DataFrame, key: str, value: str) -> DataFrame:
 def flat_metrics(row: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """A one-row table as (category, name, value), values as strings."""
     return row.select(F.explode(F.array(*(F.struct(F.lit(g).alias("category"), F.lit(n).alias("name"), F.col(n).cast("string").alias("value")) for g, names in groups.items() for n in names))).alias("m")).select("m.*")
+
+
+def target_statistics(df: DataFrame, value: str, split: str, healthy: Column) -> DataFrame:
+    """One row: rows in all, of each split and healthy ones, and mean, median, deviation, range and quartiles of the train rows' target."""
+    train = F.when(F.col(split) == "train", F.col(value).cast("double"))
+    counts = [F.count_if(F.col(split) == s).alias(f"{s}_samples") for s in ("train", "val", "test")]
+    return df.agg(
+        F.count("*").alias("total_samples"), *counts, F.count_if(healthy).alias("healthy_samples"), F.avg(train).alias("target_train_mean"), F.median(train).alias("target_train_median"),
+        F.stddev_samp(train).alias("target_train_std"), F.min(train).alias("target_train_min"), F.max(train).alias("target_train_max"), F.percentile(train, 0.25).alias("target_train_q25"), F.percentile(train, 0.75).alias("target_train_q75"),
+    )
+
+
+def manifest_summary(df: DataFrame, split: str, label: str, healthy: Column, value: str) -> DataFrame:
+    """One row: records, those of each split with percentages of two digits, diseased and healthy ones, distinct
+    labels, and the mean and median value of the diseased ones."""
+    sick = F.when(~healthy, F.col(value).cast("double"))
+    counts = df.agg(
+        F.count("*").alias("total"), *(F.count_if(F.col(split) == s).alias(s) for s in ("train", "val", "test")), F.count_if(~healthy).alias("diseased"), F.count_if(healthy).alias("healthy"),
+        F.count_distinct(label).alias("classes"), F.avg(sick).alias("mean_value"), F.median(sick).alias("median_value"),
+    )
+    return counts.withColumns({f"{s}_percent": F.round(ratio(100.0 * F.col(s), F.col("total")), 2) for s in ("train", "val", "test")})
+
+
+def frequency_map(df: DataFrame, key: str) -> DataFrame:
+    """One row: a map from each value that isn't null to its count, in the order of the values. For keys of few values."""
+    pairs = present_counts(df, key).agg(F.sort_array(F.collect_list(F.struct(F.col(key), F.col("n")))).alias("pairs"))
+    return pairs.select(F.map_from_entries("pairs").alias("frequencies"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import inference, metrics, scoring, selection, standardize, validate
-from tessera.plans.registry import query, rounded
+from tessera.operators import inference, metrics, profile, scoring, selection, standardize, validate
+from tessera.plans.registry import SPLIT, query, rounded, split_by_id
 from tessera.tables import table
 
 # ---- classification ----
@@ -393,3 +393,36 @@ def batch_error_isolation(spark, folder):
 def result_json(spark, folder):
     parts = {"image": F.struct(F.concat(F.lit("v"), F.col("vec_id")).alias("path")), "system": F.struct(F.lit(None).cast("boolean").alias("input_within_supported_scope"))}
     return table(spark, folder, "embeddings").select("vec_id", scoring.to_json(parts, {"direct": F.when(F.col("vec_id") % 2 == 0, F.struct(F.col("label").alias("burden")))}).alias("json"))
+
+
+@query(f"""WITH d AS (SELECT n_chars::DOUBLE AS v, lang, {SPLIT} AS split FROM documents), t AS (SELECT v FROM d WHERE split = 'train')
+    SELECT count(*) AS total_samples, count_if(split = 'train') AS train_samples, count_if(split = 'val') AS val_samples, count_if(split = 'test') AS test_samples, count_if(lang = 'en') AS healthy_samples,
+    round((SELECT avg(v) FROM t), 4) AS target_train_mean, (SELECT quantile_cont(v, 0.5) FROM t) AS target_train_median, round((SELECT stddev_samp(v) FROM t), 4) AS target_train_std,
+    (SELECT min(v) FROM t) AS target_train_min, (SELECT max(v) FROM t) AS target_train_max, (SELECT quantile_cont(v, 0.25) FROM t) AS target_train_q25, (SELECT quantile_cont(v, 0.75) FROM t) AS target_train_q75 FROM d""")
+def target_statistics(spark, folder):
+    rows = table(spark, folder, "documents").withColumn("split", split_by_id())
+    return profile.target_statistics(rows, "n_chars", "split", F.col("lang") == "en").withColumns(rounded("target_train_mean", "target_train_std", digits=4))
+
+
+@query(f"""WITH d AS (SELECT n_chars::DOUBLE AS v, lang, source, {SPLIT} AS split FROM documents)
+    SELECT count(*) AS total, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count_if(split = 'test') AS test, count_if(lang <> 'en') AS diseased, count_if(lang = 'en') AS healthy, count(DISTINCT source) AS classes,
+    round(avg(v) FILTER (lang <> 'en'), 4) AS mean_value, quantile_cont(v, 0.5) FILTER (lang <> 'en') AS median_value,
+    round(100.0::DOUBLE * count_if(split = 'train') / count(*), 2) AS train_percent, round(100.0::DOUBLE * count_if(split = 'val') / count(*), 2) AS val_percent, round(100.0::DOUBLE * count_if(split = 'test') / count(*), 2) AS test_percent FROM d""")
+def manifest_summary(spark, folder):
+    rows = table(spark, folder, "documents").withColumn("split", split_by_id())
+    return profile.manifest_summary(rows, "split", "source", F.col("lang") == "en", "n_chars").withColumns(rounded("mean_value", digits=4))
+
+
+@query("SELECT '{' || string_agg('\"' || lang || '\":' || n, ',' ORDER BY lang) || '}' AS frequencies FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)")
+def class_frequency_map(spark, folder):
+    return profile.frequency_map(table(spark, folder, "documents"), "lang").select(F.to_json("frequencies").alias("frequencies"))
+
+
+@query("""SELECT count(*) AS frames, round(count(*)::DOUBLE / (sum(l_extendedprice::DOUBLE) / 1000), 2) AS frames_per_second,
+    round(avg(l_extendedprice::DOUBLE), 2) AS latency_ms_mean, round(quantile_cont(l_extendedprice::DOUBLE, 0.5), 2) AS latency_ms_median, round(quantile_cont(l_extendedprice::DOUBLE, 0.95), 2) AS latency_ms_p95,
+    round(min(l_extendedprice::DOUBLE), 2) AS latency_ms_min, round(max(l_extendedprice::DOUBLE), 2) AS latency_ms_max,
+    round(avg(l_discount::DOUBLE), 4) AS confidence_mean, round(stddev_pop(l_discount::DOUBLE), 4) AS confidence_std, round(min(l_discount::DOUBLE), 4) AS confidence_min, round(max(l_discount::DOUBLE), 4) AS confidence_max,
+    round(avg(l_tax::DOUBLE), 4) AS burden_percent_mean, round(stddev_pop(l_tax::DOUBLE), 4) AS burden_percent_std, round(min(l_tax::DOUBLE), 4) AS burden_percent_min, round(max(l_tax::DOUBLE), 4) AS burden_percent_max FROM lineitem""")
+def execution_statistics(spark, folder):
+    rows = table(spark, folder, "lineitem").select(F.col("l_extendedprice").alias("latency_ms"), F.col("l_discount").alias("confidence"), F.col("l_tax").alias("burden_percent"))
+    return inference.execution_statistics(rows)

@@ -144,3 +144,30 @@ def test_streams_give_the_batch_result(spark, folder, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out")).groupBy("event_type").sum("count")
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, events.groupBy("event_type").count().collect()))
     assert audit_stream.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_summaries_class_map_and_telemetry(spark, tmp_path):
+    from tessera.functions import scalars
+    from tessera.operators import inference, profile
+
+    read = lambda name: json.loads("".join(p.read_text() for p in (tmp_path / name).glob("part-*")))
+    rows = spark.createDataFrame([("b", "train", 1.0), ("a", "val", 3.0), (None, "test", None)], "label string, split string, v double")
+    sinks.write_class_map(rows, "label", str(tmp_path))
+    assert read("class_to_idx") == {"a": 0, "b": 1}
+    sinks.write_summary(profile.manifest_summary(rows, "split", "label", F.col("label").isNull(), "v"), str(tmp_path), "summary")
+    found = read("summary")
+    assert (found["total"], found["diseased"], found["mean_value"], found["train_percent"], found["classes"]) == (3, 2, 2.0, 33.33, 2)
+    paths = sinks.write_described(profile.describe_by(rows, "label", "v"), profile.describe_by(rows, "split", "v"), str(tmp_path / "d"))
+    assert [spark.read.csv(p, header=True).count() for p in paths] == [2, 3]
+    scored = spark.createDataFrame([("x.png", [0.7, 0.3], 10), ("y.png", None, None)], "image string, p array<double>, lesion long")
+    results = inference.results(scored, "p", "lesion", ["a", "b"], 0.9).withColumn("error", F.when(F.col("status") == "error", "bad"))
+    back = spark.read.csv(sinks.write_batch_predictions(results, str(tmp_path)), header=True)
+    assert back.columns == sinks.PREDICTION_COLUMNS and sorted((r["image"], r["status"], r["predicted_class"]) for r in back.collect()) == [("x.png", "ok", "a"), ("y.png", "error", None)]
+    frames = spark.createDataFrame([(100.0, 0.5, 1.0), (300.0, 0.7, 3.0)], "latency_ms double, confidence double, burden_percent double")
+    sinks.write_telemetry(frames, inference.execution_statistics(frames), {"classifier": {"epoch": 3}}, str(tmp_path / "t"))
+    found = read("t/inference_execution_summary")
+    assert (found["frames"], found["frames_per_second"], found["latency_ms_median"], found["confidence_std"], found["burden_percent_mean"]) == (2, 5.0, 200.0, 0.1, 2.0)
+    assert read("t/model_checkpoint_metadata") == {"classifier": {"epoch": 3}} and spark.read.csv(str(tmp_path / "t/per_sampled_frame_predictions"), header=True).count() == 2
+    assert inference.execution_statistics(frames.limit(0)).first()["frames_per_second"] == 0
+    named = spark.range(1).select(scalars.run_name("smoke_test_", F.lit("2024-01-02 03:04:05").cast("timestamp")).alias("n"), scalars.now_iso().alias("t")).first()
+    assert named["n"] == "smoke_test_20240102_030405" and len(named["t"]) == 26
