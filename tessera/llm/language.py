@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import words as W
@@ -24,6 +24,8 @@ from tessera.llm.common import bounded_batches
 #: and on texts of at most so many bytes. All texts are predicted whole.
 DOCUMENTS_EACH = 1_024
 TRAINING_BYTES = 8_192
+#: The sample's size is right to one part in so many.
+STEPS = 24
 #: Orders of character n-grams, in the order in which an unknown word falls back.
 ORDERS = (5, 4, 3, 2, 1)
 #: The text counts as this many words at most when its score becomes a probability: words of a text aren't independent.
@@ -88,14 +90,15 @@ def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
     Of rows that share id and language the smallest text is read. Counts are made where the
     documents are read and added up by Spark; the driver gets one row for each entry and language.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learns).select("doc_id", "lang", "text", F.xxhash64("doc_id").alias("__h"))
+    # Documents by the size of their hash in steps of 2 ** (1 / STEPS), the smallest hashes last.
+    part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 60)) + 1) / F.lit(float(1 << 60))
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learns).select("doc_id", "lang", "text", F.floor(-STEPS * F.log2(part)).alias("__step"))
     may = known.where(F.octet_length("text") <= TRAINING_BYTES)
-    ranked = may.select("lang", "__h").withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("__h"))).where(F.col("r") <= each)
-    last = ranked.groupBy("lang").agg(F.max("__h").alias("__last")).collect()
+    last = _thresholds(may.groupBy("lang", "__step").count().collect(), each)  # at most 60 * STEPS rows for each language
     if not last:
         return Model([], np.zeros(0), {}, {})
-    bound = docs.sparkSession.createDataFrame([tuple(r) for r in last], "lang string, __last long")
-    chosen = may.join(F.broadcast(bound), "lang").where("__h <= __last").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+    bound = docs.sparkSession.createDataFrame(sorted(last.items()), "lang string, __last long")
+    chosen = may.join(F.broadcast(bound), "lang").where("__step >= __last").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -116,7 +119,7 @@ def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
 
     bounded_batches(docs.sparkSession)
     counted = chosen.mapInArrow(W.lean(run), "lang string, n int, entry long, seen long").groupBy("n", "entry", "lang").agg(F.sum("seen").alias("seen")).toArrow()
-    langs = sorted(r["lang"] for r in last)
+    langs = sorted(last)
     share = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     prior = np.array([share[x] for x in langs], float)
     n_of, entry, seen = counted["n"].to_numpy(), counted["entry"].to_numpy().view(np.uint64), counted["seen"].to_numpy()
@@ -131,6 +134,19 @@ def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
     return Model(langs, np.log(prior / prior.sum()), keys, logs)
 
 
+def _thresholds(steps: list, each: int) -> dict[str, int]:
+    """For each language the lowest step from which on there are ``each`` documents at most; the highest step is always taken."""
+    out: dict[str, int] = {}
+    seen: dict[str, int] = {}
+    for lang, step, n in sorted(map(tuple, steps), key=lambda r: -r[1]):
+        if seen.setdefault(lang, 0) == 0 or seen[lang] + n <= each:
+            out[lang] = step
+        else:
+            n = each  # lower steps don't count any more
+        seen[lang] += n
+    return out
+
+
 def _counted(lang: str, n: int, entries: np.ndarray, seen: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([lang] * len(seen), pa.string()), pa.array(np.full(len(seen), n, np.int32)), pa.array(entries.view(np.int64)), pa.array(seen.astype(np.int64))], ["lang", "n", "entry", "seen"])
 

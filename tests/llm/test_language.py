@@ -85,3 +85,7 @@ def test_rare_language_is_learned(spark, docs_of):
     asked = docs_of([(1, "katten hunden"), (2, "cats"), (3, "hundens kattens hundens kattens"), (4, "Ünï 東京"), (5, "катя"), (6, "katten " * 100_000), (7, None), (7, None), (None, "the dog")])
     found = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.predict(asked, model).collect()}
     assert [found[k][0] for k in (1, 2, 3, 6, 7, None)] == ["sv", "en", "sv", "sv", "und", "en"] and found[7][1] == 0
+
+
+def test_thresholds_bound_the_sample():
+    assert language._thresholds([("a", 5, 3), ("a", 9, 4), ("a", 1, 90), ("b", 2, 500), ("b", 1, 1)], 10) == {"a": 5, "b": 2}
