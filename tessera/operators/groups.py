@@ -12,9 +12,8 @@ from tessera.tables import written
 def group_ids(records: DataFrame, key: str, edges: DataFrame, a: str, b: str) -> DataFrame:
     """``key`` and duplicate_group_id of every record: records that edges connect share a group.
 
-    Numbers go from 1 by size, larger first, then by the smallest member. They are dealt
-    by the size and rank of groups, not of records: ranks inside each size come from a window
-    over that size, offsets from one row per distinct size.
+    Numbers go from 1 by size, larger first, then by the smallest member. Groups, not
+    records, are numbered, by ranges of that order (see dense_numbers).
     """
     keys = records.select(F.col(key).alias("node")).distinct()
     linked = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).join(keys, F.col("u") == F.col("node"), "left_semi").join(keys, F.col("v") == F.col("node"), "left_semi")

@@ -25,11 +25,13 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a local session) a temporary folder
-    is made, once a session.
+    Only where the setting is absent in a local session (tests) a temporary folder is made,
+    once a session; a cluster without the setting is an error, as its machines share no such folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tessera.checkpoint.dir", None)
     if not found:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("tessera.checkpoint.dir", found)
     return found.rstrip("/")
