@@ -18,6 +18,7 @@ from tessera.llm import bpe, quality, queries
 SF = "/root/testdata/sf0.001"
 
 COLUMNS = {
+    "licence": "doc_id n_words n_base first_word last_word base_labels",
     "op1": "query_id rank vec_id score", "op2": "doc_id n_words n_removed kept_sha256", "op3": "doc_id n_shingles component_id", "op4": "doc_id held_out lang_pred score", "op5": "doc_id item_id first_word similarity", "op6": "doc_id held_out score predicted",
     "op7": "doc_id n_tokens ids_sha256 decoded_sha256", "op8": "doc_id held_out score predicted", "op9": "page_id payload_bytes payload_digest record_type refers_to", "op10": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
