@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import scoring
+from tessera.operators.quantiles import Quantile, median, summary
 
 # Fixed value: pixels of the grid on which masks are measured.
 GRID = (512, 512)
@@ -45,8 +46,11 @@ def nested(image: str, total_pixels: int = GRID[0] * GRID[1], threshold: float =
 
 def execution_statistics(frames: DataFrame, latency: str = "latency_ms", confidence: str = "confidence", burden: str = "burden_percent") -> DataFrame:
     """One row: frames, effective frames a second, latencies, and statistics of confidence and burden (population deviation); 0 without frames."""
-    of = lambda c, digits, **kinds: [F.coalesce(F.round(f(F.col(c).cast("double")), digits), F.lit(0.0)).alias(f"{c}_{k}") for k, f in kinds.items()]
     spread = {"mean": F.avg, "std": F.stddev_pop, "min": F.min, "max": F.max}
-    latencies = {"mean": F.avg, "median": F.median, "p95": lambda c: F.percentile(c, 0.95), "min": F.min, "max": F.max}
+    latencies = {"mean": F.avg, "median": median, "p95": lambda c: Quantile(c, 0.95), "min": F.min, "max": F.max}
+    of = {c: {f"{c}_{k}": f(v) for k, f in kinds.items()} for c, kinds in ((latency, latencies), (confidence, spread), (burden, spread)) for v in [F.col(c).cast("double")]}
+    digits = {latency: 2, confidence: 4, burden: 4}
     seconds = F.sum(F.col(latency).cast("double")) / 1000
-    return frames.agg(F.count("*").alias("frames"), F.coalesce(F.round(F.try_divide(F.count("*").cast("double"), seconds), 2), F.lit(0.0)).alias("frames_per_second"), *of(latency, 2, **latencies), *of(confidence, 4, **spread), *of(burden, 4, **spread))
+    rate = F.coalesce(F.round(F.try_divide(F.count("*").cast("double"), seconds), 2), F.lit(0.0))
+    found = summary(frames, [], {"frames": F.count("*"), "frames_per_second": rate} | {k: v for named in of.values() for k, v in named.items()})
+    return found.withColumns({k: F.coalesce(F.round(k, digits[c]), F.lit(0.0)) for c, named in of.items() for k in named})

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import clipped, ratio
+from tessera.operators.quantiles import Quantile, median, summary
 from tessera.tables import written
 
 # Fixed value.
@@ -83,23 +84,27 @@ def batch_scores(tp: Column, fp: Column, fn: Column) -> dict[str, Column]:
 
 def mask_metrics_by(rows: DataFrame, key: str, ordinal: str, first: list[str]) -> DataFrame:
     """Means and medians of sample metrics by class; columns in ``first`` come from the row with the smallest ordinal."""
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n_samples"), *(F.min_by(c, ordinal).alias(c) for c in first), F.avg("dice").alias("mean_dice"), F.median("dice").alias("median_dice"), F.avg("iou").alias("mean_iou"), F.median("iou").alias("median_iou"),
-        F.avg("precision").alias("mean_precision"), F.avg("recall").alias("mean_recall"), F.avg("gt_lesion_ratio").alias("mean_gt_lesion_area"), F.avg("pred_lesion_ratio").alias("mean_pred_lesion_area"))
+    named = {"n_samples": F.count("*")} | {c: F.min_by(c, ordinal) for c in first}
+    for m in ("dice", "iou"):
+        named |= {f"mean_{m}": F.avg(m), f"median_{m}": median(F.col(m))}
+    named |= {"mean_precision": F.avg("precision"), "mean_recall": F.avg("recall"), "mean_gt_lesion_area": F.avg("gt_lesion_ratio"), "mean_pred_lesion_area": F.avg("pred_lesion_ratio")}
+    return summary(rows, [key], named)
 
 
 def mask_summary(rows: DataFrame, healthy: str = "is_healthy") -> DataFrame:
     """One row: all, diseased and healthy samples. Without samples means are 0 and the rate of clean healthy samples is 1."""
     h, d = F.col(healthy), ~F.col(healthy)
-    zero = lambda c, name: F.coalesce(c, F.lit(0.0)).alias(name)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
     when = lambda cond, c: F.when(cond, F.col(c))
-    return rows.agg(
-        F.count("*").alias("total_samples"), F.count_if(d).alias("diseased_samples"), F.count_if(h).alias("healthy_samples"),
-        *(zero(f(F.col(m)), f"{k}_{m}") for m in ("dice", "iou") for k, f in (("mean", F.avg), ("median", F.median))),
-        *(zero(F.avg(m), f"mean_{m}") for m in ("precision", "recall", "pixel_accuracy")),
-        *(zero(f(when(d, m)), f"diseased_{k}_{m}") for m in ("dice", "iou") for k, f in (("mean", F.avg), ("median", F.median))),
-        zero(F.avg(when(h, "false_positive_area_ratio")), "healthy_mean_fp_area"), zero(F.max(when(h, "false_positive_area_ratio")), "healthy_max_fp_area"),
-        F.coalesce(F.avg(F.when(h, (F.col("pred_lesion_ratio") == 0).cast("double"))), F.lit(1.0)).alias("perfect_clean_rate"))
+    named = {"total_samples": F.count("*"), "diseased_samples": F.count_if(d), "healthy_samples": F.count_if(h)}
+    for m in ("dice", "iou"):
+        named |= {f"mean_{m}": zero(F.avg(m)), f"median_{m}": median(F.col(m), 0.0)}
+    named |= {f"mean_{m}": zero(F.avg(m)) for m in ("precision", "recall", "pixel_accuracy")}
+    for m in ("dice", "iou"):
+        named |= {f"diseased_mean_{m}": zero(F.avg(when(d, m))), f"diseased_median_{m}": median(when(d, m), 0.0)}
+    named |= {"healthy_mean_fp_area": zero(F.avg(when(h, "false_positive_area_ratio"))), "healthy_max_fp_area": zero(F.max(when(h, "false_positive_area_ratio")))}
+    named["perfect_clean_rate"] = F.coalesce(F.avg(F.when(h, (F.col("pred_lesion_ratio") == 0).cast("double"))), F.lit(1.0))
+    return summary(rows, [], named)
 
 
 def burden(pixels: Column, total: int = 512 * 512) -> Column:
@@ -129,21 +134,19 @@ def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
     return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
 
 
-def regression(truth: Column, predicted: Column) -> dict[str, Column]:
-    """MAE, MSE, RMSE, R² (1 - residual over total squares), Pearson, bias and the midpoint median of absolute errors."""
+def regression(truth: Column, predicted: Column) -> dict[str, Column | Quantile]:
+    """MAE, MSE, RMSE, R² (1 - residual over total squares), Pearson, bias, and the midpoint and lower medians of absolute errors."""
     t, p = truth.cast("double"), predicted.cast("double")
     e = p - t
     return {
         "n": F.count(e), "mae": F.avg(F.abs(e)), "mse": F.avg(e * e), "rmse": F.sqrt(F.avg(e * e)), "r2": 1 - F.try_divide(F.sum(e * e), F.var_pop(t) * F.count(e)),
-        "pearson": correlation(p, t), "bias": F.avg(e), "median_ae": F.median(F.abs(e)),
+        "pearson": correlation(p, t), "bias": F.avg(e), "median_ae": (middle := median(F.abs(e))), "median_ae_lower": Quantile(middle.value, 0.5, lower=True),
     }
 
 
 def regression_metrics(rows: DataFrame, truth: str, predicted: str, by: str | None = None) -> DataFrame:
-    """All regression metrics, of all rows or by group. The lower median is exact (``percentile_disc``)."""
-    named = regression(F.col(truth), F.col(predicted)) | {"median_ae_lower": F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY abs(CAST({predicted} AS DOUBLE) - CAST({truth} AS DOUBLE)))")}
-    grouped = rows.groupBy(by) if by else rows.groupBy()
-    return grouped.agg(*(c.alias(k) for k, c in named.items()))
+    """All regression metrics, of all rows or by group."""
+    return summary(rows, [by] if by else [], regression(F.col(truth), F.col(predicted)))
 
 
 def spearman(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -155,8 +158,8 @@ def spearman(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
 
 def constant_baseline(rows: DataFrame, truth: str, learns: Column, kind: str = "mean") -> DataFrame:
     """Rows to test with column ``baseline``: mean or median of the rows to learn from."""
-    f = F.avg if kind == "mean" else F.median
-    value = rows.where(learns).agg(f(F.col(truth).cast("double")).alias("baseline"))
+    known = F.col(truth).cast("double")
+    value = rows.where(learns).agg(F.avg(known).alias("baseline")) if kind == "mean" else summary(rows.where(learns), [], {"baseline": median(known)})
     return rows.where(~learns).crossJoin(F.broadcast(value))
 
 
@@ -183,7 +186,7 @@ def associations(rows: DataFrame, confidence: str, correct: str, error: str, pre
 def latency_summary(rows: DataFrame, value: str) -> DataFrame:
     """Mean, median, 95th percentile, minimum, maximum and population deviation."""
     v = F.col(value).cast("double")
-    return rows.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.median(v).alias("median"), F.percentile(v, 0.95).alias("p95"), F.min(v).alias("min"), F.max(v).alias("max"), F.stddev_pop(v).alias("std"))
+    return summary(rows, [], {"n": F.count(v), "mean": F.avg(v), "median": median(v), "p95": Quantile(v, 0.95), "min": F.min(v), "max": F.max(v), "std": F.stddev_pop(v)})
 
 
 def epoch_means(rows: DataFrame, epoch: str, batch: str, values: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.scalars import ratio
+from tessera.operators.quantiles import Quantile, median, summary
 
 
 def value_counts(df: DataFrame, key: str) -> DataFrame:
@@ -33,19 +34,18 @@ def pivot_counts(df: DataFrame, row: str, column: str, values: list[str]) -> Dat
     return counts.withColumn("total", sum((F.col(v) for v in values), F.lit(0)))
 
 
-def numeric_profile(df: DataFrame, value: Column, prefix: str = "") -> list[Column]:
+def numeric_profile(value: Column) -> dict[str, Column | Quantile]:
     """Aggregates of a numeric column: sample deviation is 0 for one value; all but the count are null without values."""
     v = value.cast("double")
-    named = {
-        "n": F.count(v), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": F.median(v),
-        "std": F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)), "p25": F.percentile(v, 0.25), "p75": F.percentile(v, 0.75),
+    return {
+        "n": F.count(v), "min": F.min(v), "max": F.max(v), "mean": F.avg(v), "median": median(v),
+        "std": F.when(F.count(v) == 1, F.lit(0.0)).otherwise(F.stddev_samp(v)), "p25": Quantile(v, 0.25), "p75": Quantile(v, 0.75),
     }
-    return [c.alias(f"{prefix}{k}") for k, c in named.items()]
 
 
 def profile(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    """One row for each named expression, from a single aggregation."""
-    wide = df.agg(*(c for name, e in columns.items() for c in numeric_profile(df, e, f"{name}__")))
+    """One row for each named expression."""
+    wide = summary(df, [], {f"{name}__{k}": c for name, e in columns.items() for k, c in numeric_profile(e).items()})
     kinds = ("n", "min", "max", "mean", "median", "std", "p25", "p75")
     return wide.select(F.explode(F.array(*(F.struct(F.lit(name).alias("column"), *(F.col(f"{name}__{k}").alias(k) for k in kinds)) for name in columns))).alias("p")).select("p.*")
 
@@ -57,7 +57,8 @@ def aspect(width: Column, height: Column) -> Column:
 def describe_by(df: DataFrame, key: str, value: str) -> DataFrame:
     """count, mean, std (null for one row), min, quartiles and max of each group."""
     v = F.col(value).cast("double")
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"), F.percentile(v, 0.25).alias("p25"), F.median(v).alias("p50"), F.percentile(v, 0.75).alias("p75"), F.max(v).alias("max"))
+    named = {"n": F.count(v), "mean": F.avg(v), "std": F.stddev_samp(v), "min": F.min(v), "p25": Quantile(v, 0.25), "p50": median(v), "p75": Quantile(v, 0.75), "max": F.max(v)}
+    return summary(df.where(F.col(key).isNotNull()), [key], named)
 
 
 def top_values(df: DataFrame, key: Column, k: int, name: str = "value") -> DataFrame:
@@ -74,13 +75,13 @@ def distinct_summary(df: DataFrame, keys: list[str]) -> DataFrame:
 def conditional_profile(df: DataFrame, keys: list[str], valid: Column, masked: Column, value: str, split: str, splits: tuple[str, ...]) -> DataFrame:
     """Per group: totals, valid rows, valid masks, rows of each split, and the ratio's median, mean, min and max over valid masks (0 without any)."""
     v = F.when(masked, F.col(value).cast("double"))
-    named = {"median_ratio": F.median(v), "mean_ratio": F.avg(v), "min_ratio": F.min(v), "max_ratio": F.max(v)}
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    named = {"total": F.count("*"), "valid_images": F.count_if(valid), "valid_masks": F.count_if(masked)} | {f"{s}_count": F.count_if(F.col(split) == s) for s in splits}
+    named |= {"median_ratio": median(v, 0.0), "mean_ratio": zero(F.avg(v)), "min_ratio": zero(F.min(v)), "max_ratio": zero(F.max(v))}
     rows = df
     for k in keys:
         rows = rows.where(F.col(k).isNotNull())
-    return rows.groupBy(*keys).agg(
-        F.count("*").alias("total"), F.count_if(valid).alias("valid_images"), F.count_if(masked).alias("valid_masks"),
-        *(F.count_if(F.col(split) == s).alias(f"{s}_count") for s in splits), *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in named.items()))
+    return summary(rows, keys, named)
 
 
 def feasibility(profiled: DataFrame, tiers: tuple[tuple[str, int, int], ...]) -> DataFrame:
@@ -120,7 +121,7 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 def box_plot(df: DataFrame, key: str, value: str) -> DataFrame:
     """Quartiles and whiskers (the outermost values within 1.5 interquartile ranges) and the number of values beyond."""
     v = F.col(value).cast("double")
-    q = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.percentile(v, 0.25).alias("q1"), F.median(v).alias("q2"), F.percentile(v, 0.75).alias("q3"))
+    q = summary(df.where(F.col(key).isNotNull()), [key], {"q1": Quantile(v, 0.25), "q2": median(v), "q3": Quantile(v, 0.75)})
     inside = (v >= F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))) & (v <= F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")))
     return df.join(q, key).groupBy(key).agg(F.first("q1").alias("q1"), F.first("q2").alias("q2"), F.first("q3").alias("q3"), F.min(F.when(inside, v)).alias("low"), F.max(F.when(inside, v)).alias("high"), F.count_if(~inside).alias("outliers"))
 
@@ -133,21 +134,18 @@ def flat_metrics(row: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 def target_statistics(df: DataFrame, value: str, split: str, healthy: Column) -> DataFrame:
     """One row: rows in all, of each split and healthy ones, and mean, median, deviation, range and quartiles of the train rows' target."""
     train = F.when(F.col(split) == "train", F.col(value).cast("double"))
-    counts = [F.count_if(F.col(split) == s).alias(f"{s}_samples") for s in ("train", "val", "test")]
-    return df.agg(
-        F.count("*").alias("total_samples"), *counts, F.count_if(healthy).alias("healthy_samples"), F.avg(train).alias("target_train_mean"), F.median(train).alias("target_train_median"),
-        F.stddev_samp(train).alias("target_train_std"), F.min(train).alias("target_train_min"), F.max(train).alias("target_train_max"), F.percentile(train, 0.25).alias("target_train_q25"), F.percentile(train, 0.75).alias("target_train_q75"),
-    )
+    named = {"total_samples": F.count("*")} | {f"{s}_samples": F.count_if(F.col(split) == s) for s in ("train", "val", "test")} | {"healthy_samples": F.count_if(healthy)}
+    statistics = {"mean": F.avg(train), "median": median(train), "std": F.stddev_samp(train), "min": F.min(train), "max": F.max(train), "q25": Quantile(train, 0.25), "q75": Quantile(train, 0.75)}
+    return summary(df, [], named | {f"target_train_{k}": c for k, c in statistics.items()})
 
 
 def manifest_summary(df: DataFrame, split: str, label: str, healthy: Column, value: str) -> DataFrame:
     """One row: records, those of each split with percentages of two digits, diseased and healthy ones, distinct
     labels, and the mean and median value of the diseased ones."""
     sick = F.when(~healthy, F.col(value).cast("double"))
-    counts = df.agg(
-        F.count("*").alias("total"), *(F.count_if(F.col(split) == s).alias(s) for s in ("train", "val", "test")), F.count_if(~healthy).alias("diseased"), F.count_if(healthy).alias("healthy"),
-        F.count_distinct(label).alias("classes"), F.avg(sick).alias("mean_value"), F.median(sick).alias("median_value"),
-    )
+    named = {"total": F.count("*")} | {s: F.count_if(F.col(split) == s) for s in ("train", "val", "test")}
+    named |= {"diseased": F.count_if(~healthy), "healthy": F.count_if(healthy), "classes": F.count_distinct(label), "mean_value": F.avg(sick), "median_value": median(sick)}
+    counts = summary(df, [], named)
     return counts.withColumns({f"{s}_percent": F.round(ratio(100.0 * F.col(s), F.col("total")), 2) for s in ("train", "val", "test")})
 
 
