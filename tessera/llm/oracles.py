@@ -55,10 +55,32 @@ LICENCE_BASE = rf"""
     f AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ({_PLACES}) GROUP BY doc_id)
     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f ON f.doc_id = d.doc_id"""
 
+#: The recursion over end days with every allowed start, then the way back from the last day.
+CHANGE_POINTS = """
+    WITH RECURSIVE d AS (SELECT vendor_id, datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, CAST(sum(quantity) AS BIGINT) AS x
+        FROM sale_lines WHERE flag = 'kept' AND quantity IS NOT NULL AND shipped_at IS NOT NULL AND vendor_id IS NOT NULL GROUP BY 1, 2),
+    r AS (SELECT vendor_id, min(day) AS a, max(day) AS z FROM d GROUP BY 1),
+    g AS (SELECT vendor_id, a, unnest(range(a, z + 1)) AS day FROM r),
+    f AS (SELECT g.vendor_id, a, g.day, coalesce(x, 0) AS x FROM g LEFT JOIN d ON d.vendor_id = g.vendor_id AND d.day = g.day),
+    w AS (SELECT vendor_id, a, day, sum(x) OVER o AS p, sum(x * x) OVER o AS q FROM f WINDOW o AS (PARTITION BY vendor_id ORDER BY day)),
+    v AS (SELECT vendor_id, a, count(*) AS n, [0::HUGEINT] || list(p ORDER BY day) AS ps, [0::HUGEINT] || list(q ORDER BY day) AS qs FROM w GROUP BY 1, 2),
+    t(vendor_id, e, best) AS (SELECT vendor_id, 0::BIGINT, [[0::BIGINT, 0, 0]] FROM v UNION ALL
+        SELECT t.vendor_id, t.e + 1, t.best || [list_sort(list_transform(
+            list_filter(range(t.e + 1), lambda s: (s = 0 AND (n < 7 OR t.e >= 6) OR s >= 7 AND s <= t.e - 6) AND t.best[s + 1] IS NOT NULL),
+            lambda s: [t.best[s + 1][1] + CASE WHEN s > 0 THEN 20000 ELSE 0 END + (t.e + 1 - s) * CAST(floor(1000 * ln(CAST(1 + ((t.e + 1 - s) * (qs[t.e + 2] - qs[s + 1]) - (ps[t.e + 2] - ps[s + 1]) * (ps[t.e + 2] - ps[s + 1])) // ((t.e + 1 - s) * (t.e + 1 - s)) AS DOUBLE))) AS BIGINT), t.best[s + 1][2] + 1, s]))[1]]
+        FROM t JOIN v ON v.vendor_id = t.vendor_id WHERE t.e < n),
+    b AS (SELECT v.*, best FROM t JOIN v ON v.vendor_id = t.vendor_id AND e = n),
+    c(vendor_id, s, e) AS (SELECT vendor_id, best[n + 1][3], n FROM b UNION ALL SELECT c.vendor_id, best[c.s + 1][3], c.s FROM c JOIN b ON b.vendor_id = c.vendor_id WHERE c.s > 0),
+    o AS (SELECT c.vendor_id, s, e, a, e - s AS k, ps[e + 1] - ps[s + 1] AS total, qs[e + 1] - qs[s + 1] AS q, best[n + 1] AS whole FROM c JOIN b ON b.vendor_id = c.vendor_id),
+    x AS (SELECT *, CAST(1 + (k * q - total * total) // (k * k) AS BIGINT) AS spread FROM o)
+    SELECT vendor_id, CAST(row_number() OVER (PARTITION BY vendor_id ORDER BY s) AS INTEGER) AS segment_no, CAST(a + s AS BIGINT) AS first_day, CAST(k AS BIGINT) AS n_days, CAST(total AS BIGINT) AS total, spread,
+        CAST(k * floor(1000 * ln(CAST(spread AS DOUBLE))) AS BIGINT) AS cost, CAST(whole[2] AS BIGINT) AS n_segments, CAST(whole[1] AS BIGINT) AS best_cost FROM x"""
+
 ORACLES = {
     "op1_topk_search": TOPK,
     "op2_substring_dedup": SUBSTRINGS,
     "op3_jaccard_join": JACCARD,
     "op9_warc_archives": WARC,
+    "op13_change_points": CHANGE_POINTS,
     "licence_base_places": LICENCE_BASE,
 }

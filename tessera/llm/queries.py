@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, bpe, decontamination, jaccard, language, licences, quality, substrings, toxicity, warc
+from tessera.llm import bitsliced, bpe, changepoints, decontamination, jaccard, language, licences, quality, substrings, toxicity, warc
 from tessera.llm.common import table
 from tessera.llm.oracles import ORACLES
 
@@ -67,6 +67,12 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op13_change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "sale_lines").where("flag = 'kept'")
+    daily = changepoints.daily_totals(lines, "vendor_id", F.col("shipped_at"), F.col("quantity"))
+    return changepoints.segments(daily).withColumnRenamed("key", "vendor_id")
+
+
 def licence_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op10_licence_scan that SQL can express."""
     return op10_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
