@@ -55,6 +55,24 @@ LICENCE_BASE = rf"""
     f AS (SELECT doc_id, count(*) AS n, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM ({_PLACES}) GROUP BY doc_id)
     SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n, 0) AS n_base, a AS first_word, z AS last_word, coalesce(labels, '') AS base_labels FROM d LEFT JOIN f ON f.doc_id = d.doc_id"""
 
+#: Checksums from a table made by its rule; pairs meet by the word with one code point left out.
+SPELLING = f"""
+    WITH RECURSIVE k AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)) AS crc),
+    r AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    u AS (SELECT doc_id, run, count(*) AS n FROM r GROUP BY 1, 2),
+    b AS (SELECT *, flatten(list_transform(list_transform(string_split(doc_id || ':' || run, ''), lambda c: ord(c)), lambda c: CASE WHEN c < 128 THEN [c] ELSE [192 + c // 64, 128 + c % 64] END)) AS bytes FROM u),
+    h AS (SELECT doc_id, run, n, xor(list_reduce(bytes, lambda c, x: xor(c // 256, crc[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS h FROM b, k),
+    w AS (SELECT CASE WHEN h % 97 = 0 THEN run[: h % length(run)] || run[h % length(run) + 2 :] ELSE run END AS word, n FROM h),
+    v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+    d AS (SELECT word, n, i, word[: i] || word[i + 2 :] AS gap FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    p AS (SELECT a.word, b.word AS near, b.n AS m FROM d a JOIN d b ON a.gap = b.gap AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, v.word, v.n FROM d a JOIN v ON a.gap = v.word UNION SELECT v.word, a.word, a.n FROM d a JOIN v ON a.gap = v.word),
+    t AS (SELECT word, near, m, count(*) OVER (PARTITION BY word) AS n_near FROM p QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, near) = 1),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * v.n THEN near END AS form, CASE WHEN m >= 2 * v.n THEN m END AS form_n FROM v LEFT JOIN t ON t.word = v.word),
+    c(word, root) AS (SELECT word, coalesce(form, word) FROM f UNION ALL SELECT c.word, f.form FROM c JOIN f ON f.word = c.root WHERE f.form IS NOT NULL),
+    e AS (SELECT c.word, c.root FROM c JOIN f ON f.word = c.root WHERE f.form IS NULL)
+    SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT DISTINCT * FROM e) e ON e.word = f.word"""
+
 #: The recursion over end days with every allowed start, then the way back from the last day.
 CHANGE_POINTS = """
     WITH RECURSIVE d AS (SELECT vendor_id, datediff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)) AS day, CAST(sum(quantity) AS BIGINT) AS x
@@ -81,6 +99,7 @@ ORACLES = {
     "op2_substring_dedup": SUBSTRINGS,
     "op3_jaccard_join": JACCARD,
     "op9_warc_archives": WARC,
+    "op12_spelling_variants": SPELLING,
     "op13_change_points": CHANGE_POINTS,
     "licence_base_places": LICENCE_BASE,
 }
