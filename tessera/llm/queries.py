@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bitsliced, bpe, changepoints, decontamination, jaccard, language, licences, quality, spelling, substrings, toxicity, warc
+from tessera.llm import bitsliced, bpe, changepoints, decontamination, jaccard, language, licences, quality, spelling, substrings, syncmers, toxicity, warc
 from tessera.llm.common import table
 from tessera.llm.oracles import ORACLES
 
@@ -67,6 +67,10 @@ def op10_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), slips=97))
 
