@@ -9,20 +9,12 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Weights of red, green and blue in gray, and constants of structural similarity.
+# Weights of red, green and blue in gray, constants of structural similarity, and names of mask conventions.
 GRAY = (0.299, 0.587, 0.114)
 SSIM_SIDE, SSIM_WINDOW, SSIM_SIGMA, SSIM_C1, SSIM_C2 = 256, 11, 1.5, (0.01 * 255) ** 2, (0.03 * 255) ** 2
 CROP_MARGIN = 0.15
 
 
-def array_of(image) -> np.ndarray | None:  # noqa: ANN001
-    """Rows x columns (x channels, BGR order) of a Spark image struct; None where it is null or wasn't decoded."""
-    if image is None or image["data"] is None or not image["width"] or image["width"] < 0:
-        return None
-    full = np.frombuffer(bytes(image["data"]), np.uint8).reshape(int(image["height"]), int(image["width"]), int(image["nChannels"]))
-    return full[:, :, 0] if full.shape[2] == 1 else full
-
-
 def gray(image: np.ndarray) -> np.ndarray:
     """One plane of floats from BGR(A) or gray."""
     if image.ndim == 2:
@@ -35,7 +27,12 @@ def mask_plane(mask: np.ndarray) -> np.ndarray:
     """Channel 0 of four channels, gray of three, and a plane as it is."""
     if mask.ndim == 2:
         return mask
-    return mask[:, :, 0] if mask.shape[2] == 4 else gray(mask).astype(np.uint8)
+    return mask[:, :, 0] if mask.shape[2] == 4 else gray(mask).astype(mask.dtype)
+
+
+def convention(values: set[int], most: int) -> str:
+    """How a mask with these values marks what it shows; a blank mask counts as 0 and 1."""
+    return "binary_0_1" if values <= {0, 1} else "binary_0_255" if values <= {0, 255} else f"multivalue_max_{most}"
 
 
 def count_components(affected: np.ndarray) -> int:
@@ -101,17 +98,24 @@ def _blurred(plane: np.ndarray) -> np.ndarray:
     return plane
 
 
-def structural_similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
-    """Mean structural similarity of two images at 256 x 256 in gray, clipped to [-1, 1]; 0 where either is missing."""
-    if a is None or b is None:
-        return 0.0
-    x, y = (resized(gray(i), SSIM_SIDE, SSIM_SIDE) for i in (a, b))
+def similarity_plane(image: np.ndarray) -> np.ndarray:
+    """The gray plane, 256 x 256, of which the structural similarity is taken."""
+    return resized(gray(image), SSIM_SIDE, SSIM_SIDE)
+
+
+def similarity_of_planes(x: np.ndarray, y: np.ndarray) -> float:
+    """Mean structural similarity of two planes of one size, clipped to [-1, 1]."""
     mx, my = _blurred(x), _blurred(y)
     vx, vy, cov = _blurred(x * x) - mx * mx, _blurred(y * y) - my * my, _blurred(x * y) - mx * my
     score = ((2 * mx * my + SSIM_C1) * (2 * cov + SSIM_C2)) / ((mx * mx + my * my + SSIM_C1) * (vx + vy + SSIM_C2))
     return float(np.clip(score.mean(), -1, 1))
 
 
+def structural_similarity(a: np.ndarray | None, b: np.ndarray | None) -> float:
+    """Mean structural similarity of two images at 256 x 256 in gray; 0 where either is missing."""
+    return 0.0 if a is None or b is None else similarity_of_planes(similarity_plane(a), similarity_plane(b))
+
+
 def padded_to_square(image: np.ndarray) -> np.ndarray:
     """Zeros around the image, an odd pixel more on the right or at the bottom."""
     h, w = image.shape[:2]
@@ -130,23 +134,13 @@ def crop_box(mask: np.ndarray, margin: float = CROP_MARGIN) -> tuple[int, int, i
     return max(0, x0 - dx), max(0, y0 - dy), min(mask.shape[1], x1 + dx), min(mask.shape[0], y1 + dy)
 
 
-def dhash_words(image: Column, side: int = 16) -> Column:
-    """Difference hash of an image struct; null where it wasn't decoded."""
-
-    @F.pandas_udf("array<bigint>")
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        for part in batches:
-            yield pd.Series([None if (a := array_of(r)) is None else difference_hash(a, side) for _, r in part.iterrows()], dtype=object)
-
-    return run(image)
-
-
-def ssim(a: Column, b: Column) -> Column:
-    """Structural similarity of two image structs. Use it on candidate pairs only."""
+def plane_similarity(a: Column, b: Column) -> Column:
+    """Structural similarity of two stored planes (see ``sources.pixels.planes``); 0 where either is missing. Use it on candidate pairs only."""
+    plane = lambda x: np.frombuffer(x, np.float32).astype(float).reshape(SSIM_SIDE, SSIM_SIDE)
 
     @F.pandas_udf("double")
-    def run(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for x, y in batches:
-            yield pd.Series([structural_similarity(array_of(p), array_of(q)) for (_, p), (_, q) in zip(x.iterrows(), y.iterrows(), strict=True)], dtype=float)
+            yield pd.Series([0.0 if p is None or q is None else similarity_of_planes(plane(p), plane(q)) for p, q in zip(x, y, strict=True)], dtype=float)
 
     return run(a, b)

@@ -1,20 +1,16 @@
-"""Validation of images and masks: predicates in the JVM, pixels in Arrow functions that see one image a row."""
+"""Validation of images and masks: predicates on narrow facts, which are taken where the files are read."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.operators import images
-
-# Fixed values.
+# Limits, flags, and texts of errors.
 MOST_ASPECT, LEAST_SIDE, RATIO_TOLERANCE = 5.0, 32, 0.05
 EXTREME_ASPECT, VERY_SMALL = "extreme_aspect_ratio", "very_small_resolution"
-VALIDATED = "is_valid_mask boolean, mask_convention string, affected_pixels long, affected_area_ratio double, num_lesion_components int, mask_code string, mask_error string"
+NO_PATH, NO_FILE, EMPTY_FILE, UNREADABLE = "Missing image path in record", "File does not exist: ", "Zero-byte file", "Image decoding error"
+NO_MASK, EMPTY_MASK, UNREADABLE_MASK = "Mask file does not exist: ", "Zero-byte mask file", "Failed to decode mask array"
+OTHER_SIZE = "Dimension mismatch: mask is %dx%d, image is %dx%d"
 
 
 def unusual(width: Column, height: Column, most_aspect: float = MOST_ASPECT, least_side: int = LEAST_SIDE) -> Column:
@@ -35,48 +31,41 @@ def has_issue(*notes: Column) -> Column:
     return F.coalesce(*(F.nullif(n, F.lit("")) for n in notes)).isNotNull()
 
 
-def mask_facts(mask: np.ndarray | None, width: int | None, height: int | None, components: bool = True) -> tuple:
-    """Values of VALIDATED for a decoded mask (rows x columns, or with channels in BGR order)."""
-    if mask is None or not mask.size:
-        return False, None, 0, 0.0, 0, "corrupt", "Failed to decode mask array"
-    plane = images.mask_plane(mask)
-    h, w = plane.shape
-    if width is not None and height is not None and (w, h) != (width, height):
-        return False, "dimension_mismatch", 0, 0.0, 0, "dimensions", f"Dimension mismatch: mask is {w}x{h}, image is {width}x{height}"
-    values = set(np.unique(plane).tolist())
-    convention = "binary_0_1" if values <= {0, 1} else "binary_0_255" if values <= {0, 255} else f"multivalue_max_{max(values)}"
-    affected = plane > 0
-    n = int(affected.sum())
-    return True, convention, n, n / (w * h), images.count_components(affected) if components and n else 0, None, None
-
-
-def validated(records: DataFrame, decoded: DataFrame, components: bool = True, tolerance: float = RATIO_TOLERANCE, limit: int | None = None) -> DataFrame:
+def validated(records: DataFrame, facts: DataFrame, components: bool = True, tolerance: float = RATIO_TOLERANCE, limit: int | None = None) -> DataFrame:
     """Records with facts about image and mask.
 
-    ``records``: F2 records. ``decoded``: path, length, and Spark's image struct (null where
-    decoding failed) of every file. Both files of a record are joined by path; masks are
-    examined by an Arrow function that returns one struct a row. Codes tell missing,
-    corrupt and mismatching files apart without reading error texts.
+    ``records``: F2 records. ``facts``: the narrow rows of ``sources.pixels.facts``; both files of a record are
+    joined by path, and all rules are predicates on them. Codes tell missing, corrupt and
+    mismatching files apart without reading error texts. Regions are 0 where ``components`` is off.
     """
     rows = records if limit is None else records.orderBy("original_index").limit(limit)
-    side = lambda k: decoded.select(F.col("path").alias(f"{k}_file"), F.col("length").alias(f"{k}_length"), F.col("image").alias(f"{k}_pixels"))
-    rows = rows.join(side("i"), F.col("image_path") == F.col("i_file"), "left").join(side("m"), F.col("mask_path") == F.col("m_file"), "left")
-    shown = F.coalesce(F.col("i_pixels.width") > 0, F.lit(False))
-    code = F.when(F.col("image_path").isNull(), "corrupt").when(F.col("i_file").isNull(), "missing").when(F.col("i_length") == 0, "corrupt").when(~shown, "corrupt")
-    error = F.when(F.col("image_path").isNull(), "Missing image path in record").when(F.col("i_file").isNull(), F.concat(F.lit("File does not exist: "), "image_path")).when(F.col("i_length") == 0, "Zero-byte file").when(~shown, "Image decoding error")
-    rows = rows.withColumns({"image_code": code, "image_error": error, "is_valid_image": shown, "width": F.when(shown, F.col("i_pixels.width")), "height": F.when(shown, F.col("i_pixels.height")), "channels": F.when(shown, F.col("i_pixels.nChannels"))})
+    names = ("path", "length", "width", "height", "channels", "convention", "affected", "components")
+    side = lambda k: facts.select(*(F.col(c).alias(f"__{k}_{c}") for c in names))
+    rows = rows.join(side("i"), F.col("image_path") == F.col("__i_path"), "left").join(side("m"), F.col("mask_path") == F.col("__m_path"), "left")
+    text, whole, real, no = F.lit(None).cast("string"), F.lit(0).cast("long"), F.lit(0.0), F.lit(False)
+
+    shown = F.col("__i_width").isNotNull()
+    code = F.when(F.col("image_path").isNull(), "corrupt").when(F.col("__i_path").isNull(), "missing").when(~shown, "corrupt")
+    error = F.when(F.col("image_path").isNull(), NO_PATH).when(F.col("__i_path").isNull(), F.concat(F.lit(NO_FILE), "image_path")).when(F.col("__i_length") == 0, EMPTY_FILE).when(~shown, UNREADABLE)
+    rows = rows.withColumns({"image_code": code, "image_error": error, "is_valid_image": shown, "width": F.col("__i_width"), "height": F.col("__i_height"), "channels": F.col("__i_channels")})
     rows = rows.withColumn("unusual_image_flag", unusual(F.col("width"), F.col("height")))
 
-    @F.pandas_udf(VALIDATED)
-    def facts(batches: Iterator[tuple[pd.DataFrame, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for pixels, width, height in batches:
-            found = [mask_facts(images.array_of(p), None if pd.isna(w) else int(w), None if pd.isna(h) else int(h), components) for (_, p), w, h in zip(pixels.iterrows(), width, height, strict=True)]
-            yield pd.DataFrame(found, columns=[c.split()[0] for c in VALIDATED.split(", ")])
-
-    none = lambda valid, code, error: F.struct(F.lit(valid).alias("is_valid_mask"), F.lit(None).cast("string").alias("mask_convention"), F.lit(0).cast("long").alias("affected_pixels"), F.lit(0.0).alias("affected_area_ratio"), F.lit(0).alias("num_lesion_components"), F.lit(code).cast("string").alias("mask_code"), error.alias("mask_error"))
-    mask = F.when(F.col("mask_path").isNull(), none(False, None, F.lit(None).cast("string"))).when(F.col("m_file").isNull(), none(False, "missing", F.concat(F.lit("Mask file does not exist: "), "mask_path")))
-    mask = mask.when(F.col("m_length") == 0, none(False, "corrupt", F.lit("Zero-byte mask file"))).otherwise(facts(F.col("m_pixels"), F.col("width"), F.col("height")))
-    rows = rows.withColumn("__mask", mask).select("*", "__mask.*").drop("__mask", "i_file", "i_length", "i_pixels", "m_file", "m_length", "m_pixels")
+    w, h, mw, mh = (F.col(c) for c in ("width", "height", "__m_width", "__m_height"))
+    sizes = F.format_string(OTHER_SIZE, mw, mh, w, h)
+    none = lambda name, code, error: (no, name, whole, real, F.lit(0), code, error)
+    cases = [
+        (F.col("mask_path").isNull(), none(text, text, text)), (F.col("__m_path").isNull(), none(text, F.lit("missing"), F.concat(F.lit(NO_MASK), "mask_path"))),
+        (F.col("__m_length") == 0, none(text, F.lit("corrupt"), F.lit(EMPTY_MASK))), (mw.isNull(), none(text, F.lit("corrupt"), F.lit(UNREADABLE_MASK))),
+        (shown & ((mw != w) | (mh != h)), none(F.lit("dimension_mismatch"), F.lit("dimensions"), sizes)),
+    ]
+    regions = F.col("__m_components") if components else F.lit(0)
+    good = (F.lit(True), F.col("__m_convention"), F.col("__m_affected"), F.col("__m_affected") / (mw.cast("double") * mh), regions, text, text)
+    for i, name in enumerate(("is_valid_mask", "mask_convention", "affected_pixels", "affected_area_ratio", "num_lesion_components", "mask_code", "mask_error")):
+        value = F.when(cases[0][0], cases[0][1][i])
+        for condition, values in cases[1:]:
+            value = value.when(condition, values[i])
+        rows = rows.withColumn(name, value.otherwise(good[i]))
+    rows = rows.drop(*(f"__{k}_{c}" for k in "im" for c in names))
     return rows.withColumn("ratio_discrepancy_note", F.when(F.col("is_valid_mask"), discrepancy_note(F.col("affected_area_ratio"), F.col("meta_mask_ratio"), tolerance)))
 
 

@@ -1,6 +1,6 @@
 """Registered queries of the audit engine."""
 
-from tessera.plans import audit, copies, evaluation, preparation  # noqa: F401  (they register their queries)
+from tessera.plans import audit, copies, evaluation, image_files, preparation  # noqa: F401  (they register their queries)
 from tessera.plans.registry import ORACLES, QUERIES
 
 

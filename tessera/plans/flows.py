@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
-from tessera.operators import duplicates, groups, images, profile, splits, validate
-from tessera.sources import discovery
+from tessera.operators import classes, duplicates, fingerprints, groups, images, profile, splits, validate
+from tessera.sources import discovery, pixels
 from tessera.tables import written
 
 # Classes of the published benchmark by disease name, and limits of near duplicates.
@@ -27,27 +28,59 @@ class Audit:
     tables: dict[str, DataFrame]
 
 
-def edges_of(records: DataFrame, decoded: DataFrame, spark: SparkSession, root: str, near: bool = True, mode: str = "exact", threshold: int = HASH_THRESHOLD) -> DataFrame:
-    """Duplicate pairs of valid images: equal bytes, then near difference hashes that aren't equal bytes."""
-    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.col("path").alias("image_path"), F.md5("content").alias("digest"))
-    rows = records.where("is_valid_image").select("original_index", "sample_id", "image_path", "split", "host", "disease").join(content, "image_path")
-    carry = ["sample_id", "image_path", "split", "host", "disease"]
-    found = duplicates.exact_pairs(rows, "original_index", "digest", carry).withColumns({"similarity_metric": F.lit("byte_exact"), "metric_value": F.lit(0.0)})
-    if near:
-        hashed = rows.join(decoded.select(F.col("path").alias("image_path"), images.dhash_words(F.col("image"), HASH_SIDE).alias("words")), "image_path")
-        hashed = written(hashed.select("original_index", "words"), "hashes")
-        pairs = duplicates.not_yet_paired(duplicates.near_pairs(hashed, "original_index", "words", threshold, HASH_BITS, mode, 4, 100), found, "original_index_1", "original_index_2")
-        for k in (1, 2):
-            pairs = pairs.join(rows.select(F.col("original_index").alias(f"original_index_{k}"), *(F.col(c).alias(f"{c}_{k}") for c in carry)), f"original_index_{k}")
-        found = found.unionByName(pairs.withColumns({"duplicate_type": F.lit(duplicates.NEAR), "similarity_metric": F.lit("hamming_distance"), "metric_value": F.col("distance").cast("double")}).drop("distance"))
-    return found.withColumn("leakage_flag", duplicates.leaks(F.col("split_1"), F.col("split_2")))
+@dataclass
+class Copies:
+    """The duplicate audit's own tables: ``classes`` of equal files, ``membership`` of every valid record, ``edges`` and ``counters``.
+
+    ``edges`` has a star for each class and one edge for each pair of classes that look alike, between representatives;
+    they connect what all pairs would connect. ``counters`` count all pairs, by arithmetic.
+    """
+
+    classes: DataFrame
+    membership: DataFrame
+    edges: DataFrame
+    counters: DataFrame
+
+
+CARRIED = ["sample_id", "image_path", "split", "host", "disease"]
 
 
-def confirmed_edges(edges: DataFrame, decoded: DataFrame, threshold: int = HASH_THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
-    """Exact edges, and near ones whose images are structurally similar; pixels are compared for near candidates alone."""
+def copies_of(records: DataFrame, facts: DataFrame, near: bool = True, mode: str = "exact", threshold: int = HASH_THRESHOLD) -> Copies:
+    """Duplicates of valid images: equal bytes, and near difference hashes of different bytes.
+
+    ``mode`` exact keeps an index of hash blocks; ``exhaustive`` and ``bucketed`` are those of ``duplicates.near_pairs``.
+    """
+    key = "original_index"
+    digests = facts.select(F.col("path").alias("image_path"), "digest", "words")
+    rows = written(records.where("is_valid_image").select(key, *CARRIED).join(digests, "image_path"), "valid-images")
+    found, members = classes.audited(rows, key, "digest", "split", CARRIED)
+    columns = [f"{c}_{k}" for c in [key, *CARRIED] for k in (1, 2)]
+    stars = classes.star_edges(members, found, key, CARRIED).withColumns({"similarity_metric": F.lit("byte_exact"), "metric_value": F.lit(0.0)})
+    edges, counters = stars, classes.exact_counters(found)
+    if near:
+        hashed = rows.join(found.select(F.col("representative").alias("__r")), F.col(key) == F.col("__r"), "left_semi").select(key, "words")
+        if mode == "exact":
+            index = fingerprints.build(hashed, key, "words", f"image_hashes_{uuid.uuid4().hex}", fingerprints.Scheme(sum(HASH_BITS), threshold))
+            pairs = fingerprints.near_pairs(index, records.sparkSession).withColumnsRenamed({"id_1": "representative_1", "id_2": "representative_2"})
+        else:
+            pairs = duplicates.near_pairs(hashed, key, "words", threshold, HASH_BITS, mode, 4, 100).withColumnsRenamed({f"{key}_{k}": f"representative_{k}" for k in (1, 2)})
+        alike = classes.near_class_pairs(written(pairs, "near"), found, CARRIED)
+        counters = classes.pair_counters(counters, classes.near_counters(alike))
+        alike = alike.withColumnsRenamed({f"representative_{k}": f"{key}_{k}" for k in (1, 2)}).withColumns({"duplicate_type": F.lit(duplicates.NEAR), "similarity_metric": F.lit("hamming_distance"), "metric_value": F.col("distance").cast("double")})
+        edges = edges.select(*columns, "duplicate_type", "similarity_metric", "metric_value").unionByName(alike.select(*columns, "duplicate_type", "similarity_metric", "metric_value"))
+    return Copies(found, members, edges.withColumn("leakage_flag", duplicates.leaks(F.col("split_1"), F.col("split_2"))), counters)
+
+
+def confirmed_edges(edges: DataFrame, spark: SparkSession, root: str, threshold: int = HASH_THRESHOLD, similarity: float = SIMILARITY) -> DataFrame:
+    """Exact edges, and near ones whose images are structurally similar.
+
+    Every candidate image is decoded once, to a plane; the planes are written and joined to the candidate pairs.
+    """
     near = edges.where(F.col("duplicate_type") == duplicates.NEAR).where(F.col("metric_value") <= threshold)
-    side = lambda k: decoded.select(F.col("path").alias(f"image_path_{k}"), F.col("image").alias(f"__image_{k}"))
-    scored = near.join(side(1), "image_path_1", "left").join(side(2), "image_path_2", "left").withColumn("ssim", images.ssim(F.col("__image_1"), F.col("__image_2"))).drop("__image_1", "__image_2")
+    ends = near.select(F.explode(F.array("image_path_1", "image_path_2")).alias("path"))
+    planes = written(pixels.planes(spark, root, ends), "planes")
+    side = lambda k: planes.select(F.col("path").alias(f"image_path_{k}"), F.col("plane").alias(f"__plane_{k}"))
+    scored = near.join(side(1), "image_path_1", "left").join(side(2), "image_path_2", "left").withColumn("ssim", images.plane_similarity(F.col("__plane_1"), F.col("__plane_2")))
     exact = edges.where(F.col("duplicate_type") == duplicates.EXACT).withColumn("ssim", F.lit(None).cast("double"))
     return duplicates.confirmed(exact.unionByName(scored.select(exact.columns)), threshold, similarity)
 
@@ -57,21 +90,26 @@ def audit(spark: SparkSession, root: str, near: bool = True, limit: int | None =
     found = discovery.discover(spark, root)
     if found.records.isEmpty():
         return Audit(found, {})
-    decoded = written(discovery.decoded_images(spark, root), "decoded")
-    rows = written(validate.validated(found.records, decoded, limit=limit), "validated")
+    facts = written(pixels.facts(spark, root, HASH_SIDE), "facts")
+    rows = written(validate.validated(found.records, facts, limit=limit), "validated")
     conditional = profile.conditional_profile(rows, ["host", "disease"], F.col("is_valid_image"), F.col("is_valid_mask"), "affected_area_ratio", "split", S.SPLITS)
-    edges = written(edges_of(rows, decoded, spark, root, near), "edges")
+    copies = copies_of(rows, facts, near)
+    edges = written(copies.edges, "edges")
     valid = rows.where("is_valid_image")
-    return Audit(found, {
-        "validated": rows, "validation_errors": validate.errors(rows), "validation_counters": validate.counters(rows), "duplicate_candidates": edges, "leakage": duplicates.leak_counts(edges, "split_1", "split_2"),
-        "host_distribution": profile.value_counts(rows, "host"), "disease_distribution": profile.value_counts(rows, "disease"), "split_distribution": profile.value_counts(rows, "split"),
-        "host_x_disease": profile.cross_table(rows, "host", "disease"), "disease_x_split": profile.cross_table(rows, "disease", "split"), "channels": profile.present_counts(valid, "channels"), "conventions": profile.present_counts(rows, "mask_convention"),
-        "profiles": profile.profile(valid, {"width": F.col("width"), "height": F.col("height"), "aspect": profile.aspect(F.col("width"), F.col("height")), "mask_ratio": F.when(F.col("is_valid_mask"), F.col("affected_area_ratio")), "components": F.when(F.col("is_valid_mask"), F.col("num_lesion_components"))}),
-        "top_resolutions": profile.top_values(valid, F.concat_ws("x", "width", "height"), 10), "class_profile": conditional, "class_feasibility": profile.feasibility(conditional, TIERS),
-    })
-
-
-def prepare(rows: DataFrame, edges: DataFrame, classes: dict[str, str] = BENCHMARK_CLASSES, healthy_ratio: float = 0.2, train: float = 0.7, val: float = 0.15, seed: int = 42, strict_healthy: bool = False) -> dict[str, DataFrame]:
+    measured = {
+        "width": F.col("width"), "height": F.col("height"), "aspect": profile.aspect(F.col("width"), F.col("height")),
+        "mask_ratio": F.when(F.col("is_valid_mask"), F.col("affected_area_ratio")), "components": F.when(F.col("is_valid_mask"), F.col("num_lesion_components")),
+    }
+    tables = {"validated": rows, "validation_errors": validate.errors(rows), "validation_counters": validate.counters(rows)}
+    tables |= {"duplicate_classes": copies.classes, "duplicate_membership": copies.membership, "duplicate_candidates": edges, "leakage": copies.counters}
+    tables |= {f"{c}_distribution": profile.value_counts(rows, c) for c in ("host", "disease", "split")}
+    tables |= {"host_x_disease": profile.cross_table(rows, "host", "disease"), "disease_x_split": profile.cross_table(rows, "disease", "split")}
+    tables |= {"channels": profile.present_counts(valid, "channels"), "conventions": profile.present_counts(rows, "mask_convention"), "profiles": profile.profile(valid, measured)}
+    tables |= {"top_resolutions": profile.top_values(valid, F.concat_ws("x", "width", "height"), 10), "class_profile": conditional, "class_feasibility": profile.feasibility(conditional, TIERS)}
+    return Audit(found, tables)
+
+
+def prepare(rows: DataFrame, edges: DataFrame, display: dict[str, str] = BENCHMARK_CLASSES, healthy_ratio: float = 0.2, train: float = 0.7, val: float = 0.15, seed: int = 42, strict_healthy: bool = False) -> dict[str, DataFrame]:
     """Manifest and exclusions of validated records and confirmed duplicate edges (sample_id_1, sample_id_2).
 
     Records of one duplicate group share a split, which is checked. ``strict_healthy`` calls only
@@ -79,13 +117,13 @@ def prepare(rows: DataFrame, edges: DataFrame, classes: dict[str, str] = BENCHMA
     """
     named = F.lower(F.trim("disease")).contains("healthy")
     healthy = F.col("is_valid_image") & (named if strict_healthy else S.healthy_record(F.col("disease"), F.col("affected_pixels")))
-    reason = splits.exclusion_reason(F.col("is_valid_image"), F.col("image_error"), F.col("disease"), healthy, list(classes), True, F.col("is_valid_mask"), F.col("mask_error"), F.col("affected_pixels"))
+    reason = splits.exclusion_reason(F.col("is_valid_image"), F.col("image_error"), F.col("disease"), healthy, list(display), True, F.col("is_valid_mask"), F.col("mask_error"), F.col("affected_pixels"))
     judged = written(rows.withColumns({"is_healthy": healthy, "reason": reason}), "judged")
     kept = splits.healthy_cap(judged.where("reason IS NULL"), "sample_id", "is_healthy", healthy_ratio, seed)
     capped = F.lit(f"Healthy sample capped by max_ratio ({healthy_ratio:.2f}) threshold")
     log = lambda df, why: df.select(F.col("sample_id").alias("image_id"), F.col("image_path").alias("original_path"), why.alias("reason"), *([F.col("source")] if "source" in df.columns else []), F.col("split").alias("original_split"))
     exclusions = log(judged.where("reason IS NOT NULL"), F.col("reason")).unionByName(log(kept.where("capped"), capped))
-    names = F.create_map(*(F.lit(x) for pair in classes.items() for x in pair))
+    names = F.create_map(*(F.lit(x) for pair in display.items() for x in pair))
     active = written(kept.where("NOT capped").withColumn("display_class", F.when(F.col("is_healthy"), F.concat("host", F.lit(" — Healthy"))).otherwise(F.try_element_at(names, F.lower(F.trim("disease"))))), "active")
     active = active.join(groups.group_ids(active, "sample_id", edges, "sample_id_1", "sample_id_2"), "sample_id")
     by_group = groups.group_profile(active, "duplicate_group_id", "disease", "host", F.col("is_healthy"))

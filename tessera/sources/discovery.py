@@ -142,14 +142,6 @@ def discover(spark: SparkSession, root: str) -> Discovery:
     return Discovery(root, EMPTY, empty, ranked, counts)
 
 
-def decoded_images(spark: SparkSession, root: str) -> DataFrame:
-    """path, length and image struct of every file below ``root`` that is an image; the struct's width is -1 where decoding failed."""
-    sizes = files(spark, root).where("kind IN ('image', 'mask')").select("path", "length")
-    pixels = spark.read.format("image").option("recursiveFileLookup", "true").load(root).select("image")
-    plain = lambda c: F.regexp_replace(F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:/")
-    return sizes.join(pixels.withColumn("__key", plain(F.col("image.origin"))), plain(F.col("path")) == F.col("__key"), "left").select("path", "length", "image")
-
-
 def flat_images(spark: SparkSession, folder: str, suffixes: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".bmp")) -> DataFrame:
     """Images of one folder, not of folders below it, by name."""
     found = spark.read.format("binaryFile").load(folder).select("path", "length")

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.operators import images
 from tessera.plans import flows
 from tessera.sources import discovery, sinks
 from tessera.streaming import audit_stream
@@ -74,9 +75,10 @@ def test_near_duplicates_are_confirmed_by_structure(spark, tmp_path):
     found = flows.audit(spark, str(tmp_path))
     pairs = found.tables["duplicate_candidates"]
     assert [(r["sample_id_1"], r["sample_id_2"], r["duplicate_type"]) for r in pairs.collect()] == [("sample_000000", "sample_000001", "near_perceptual")]
-    decoded = discovery.decoded_images(spark, str(tmp_path))
-    kept = flows.confirmed_edges(pairs, decoded).collect()
-    assert len(kept) == 1 and kept[0]["ssim"] > 0.9 and flows.confirmed_edges(pairs, decoded, similarity=1.01).count() == 0
+    kept = flows.confirmed_edges(pairs, spark, str(tmp_path)).collect()
+    assert len(kept) == 1 and kept[0]["ssim"] > 0.9 and flows.confirmed_edges(pairs, spark, str(tmp_path), similarity=1.01).count() == 0
+    shade = np.clip(soft.astype(int) + 2, 0, 255).astype(np.uint8)
+    assert kept[0]["ssim"] == pytest.approx(images.structural_similarity(soft[:, :, ::-1], shade[:, :, ::-1]), abs=1e-6)
 
 
 def test_preparation_keeps_groups_together(spark, audited):

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import components, duplicates, groups, images, metrics, profile, scoring, selection, splits, standardize, validate
+from tessera.sources import pixels
 
 
 def one(spark, **columns):
@@ -238,8 +239,8 @@ def test_mask_channels():
     four = np.zeros((2, 2, 4), np.uint8)
     four[..., 2] = 255
     assert images.mask_plane(four).max() == 0
-    assert validate.mask_facts(np.array([[0, 255], [0, 0]], np.uint8), 2, 2)[:4] == (True, "binary_0_255", 1, 0.25)
-    assert validate.mask_facts(np.zeros((2, 2), np.uint8), 3, 2)[5] == "dimensions"
+    assert pixels.mask_summary(np.array([[0, 255], [0, 0]], np.uint8)) == ("binary_0_255", 1, 1) and pixels.mask_summary(np.zeros((2, 2), np.uint8)) == ("binary_0_1", 0, 0)
+    assert pixels.mask_summary(np.array([[0, 300]], np.uint16)) == ("multivalue_max_300", 1, 1)
 
 
 def test_entropy_bounds(spark):
