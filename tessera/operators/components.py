@@ -7,19 +7,30 @@ from pyspark.sql import functions as F
 
 from tessera.tables import written
 
+#: A node is hot that has at least one in so many of the edges' ends. There are no more hot nodes than this, so they are broadcast.
+HOT_ONE_IN = 2_048
+
 
 def _checksum(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v") % 1_000_003).alias("s")).first()
     return row["n"], row["s"]
 
 
+def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
+    """``edges`` (u, v) with the ``m`` of their u. Edges of hot nodes stay where they are and learn it by broadcast; the others are joined."""
+    hot = least.where(F.col("degree") * HOT_ONE_IN >= ends).select(F.col("u").alias("__hot"), F.col("m").alias("__m"))
+    marked = edges.join(F.broadcast(hot), F.col("u") == F.col("__hot"), "left")
+    cold = marked.where("__hot IS NULL").select("u", "v").join(least.select("u", "m"), "u")
+    return marked.where("__hot IS NOT NULL").select("u", "v", F.col("__m").alias("m")).unionByName(cold)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v of one ordered type): root is the smallest node of its component.
 
     Each round hangs every node's larger neighbours on the smallest one (large star), then
     the smaller ones too (small star), until no edge changes; the number of rounds grows with
-    the logarithm of the size. Smallest neighbours are aggregated before the shuffle, and
-    joins on a node with many neighbours are split by the adaptive skew join. Every round is
+    the logarithm of the size. Smallest neighbours are aggregated before the shuffle, and the edges of
+    a node with many neighbours, as roots have, are never brought together (see ``_with_least``). Every round is
     written to the shared folder, which cuts the lineage. Loops and repeated edges are
     ignored; without edges the result is empty.
     """
@@ -27,10 +38,10 @@ def components(edges: DataFrame) -> DataFrame:
     before = _checksum(edges)
     while before[0]:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        hung = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        large = _with_least(both, least, 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+        hung = _with_least(large, least, before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         edges = written(hung.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _checksum(edges)
         if after == before:
