@@ -45,6 +45,8 @@ SALTED_FROM, SALT = 8_192, 64
 #: The first round looks at one prefix n-gram in so many, takes the first and the preceding classes by size of
 #: its group (NEIGHBOURS in all), and compares each class with the TRIED others it meets most often.
 LOOKED_AT, NEIGHBOURS, TRIED = 4, 9, 16
+#: Rounds of bounded comparisons before the last one, which pairs what is still apart.
+ROUNDS = 3
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Ids of candidates are broadcast up to this many, else joined by a shuffle.
@@ -306,17 +308,19 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     pairs = _most_met(shared.where(F.pmod("token", F.lit(LOOKED_AT)) == 0))
     links = _linked(_likely(pairs, classes, percent), docs, classes, n, percent)
     roots = _bounded(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
-    # Second round: the same with neighbours at random, among n-grams that still lie in two components.
+    # More rounds: the same with neighbours at random, among n-grams that still lie in two components. Each leaves fewer to the last.
     open_ = _still_open(shared.drop("near", "next"), roots)
-    some = open_.where(F.pmod("token", F.lit(LOOKED_AT)) == 0)
-    hot = F.broadcast(hot_keys(some.groupBy("token").agg(F.count("*").alias("copies")), "token", some.count()).withColumn("hot", F.lit(True)))
-    some = some.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("token", "node"), F.lit(HOT_PARTS)).cast("int") + 1).otherwise(F.col("salt"))).drop("hot")
-    met = _with_neighbours(some, [F.xxhash64("node", "token")])
-    pairs = _most_met(met, across=True)
-    more = _linked(_likely(pairs, classes, percent), docs, classes, n, percent)
-    roots = _joined(roots, more)
+    for k in range(ROUNDS - 1):
+        if open_.isEmpty():
+            break
+        some = open_.where(F.pmod("token", F.lit(LOOKED_AT)) == k % LOOKED_AT)
+        hot = F.broadcast(hot_keys(some.groupBy("token").agg(F.count("*").alias("copies")), "token", some.count()).withColumn("hot", F.lit(True)))
+        some = some.join(hot, "token", "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("token", "node", F.lit(k)), F.lit(HOT_PARTS)).cast("int") + 1).otherwise(F.col("salt"))).drop("hot")
+        met = _with_neighbours(some, [F.xxhash64("node", "token", F.lit(k))])
+        more = _linked(_likely(_most_met(met, across=True), classes, percent), docs, classes, n, percent)
+        roots = _joined(roots, more)
+        open_ = _still_open(open_.drop("root"), roots)
     # Last round: all pairs across components that share an n-gram and pass the filters.
-    open_ = _still_open(open_.drop("root"), roots)
     # Sizes that reach the similarity lie in the same step of a scale or in neighbouring ones (steps are a little wider than
     # the ratio, so rounding can't part them).
     step = F.floor(F.log("n") / (1.001 * math.log(100 / percent))).cast("int") if percent < 100 else F.col("n")
