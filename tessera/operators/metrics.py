@@ -119,21 +119,6 @@ def correlation(x: Column, y: Column) -> Column:
     return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
-def average_rank(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Column ``name``: 1-based average rank of equal values.
-
-    Values are counted first, so the window runs over one row for each distinct value,
-    dealt by range; no window takes all rows to one task.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
-    parts = written(counts.repartitionByRange("__v").withColumn("__part", F.spark_partition_id()), "ranks")
-    sizes = parts.groupBy("__part").agg(F.sum("__n").alias("__s"))
-    before = sizes.withColumn("__b", F.coalesce(F.sum("__s").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__s")
-    upto = F.sum("__n").over(Window.partitionBy("__part").orderBy("__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranks = parts.join(F.broadcast(before), "__part").withColumn("__r", F.col("__b") + upto - (F.col("__n") - 1) / 2).select("__v", F.col("__r").alias(name))
-    return df.join(ranks, F.col(value) == F.col("__v"), "left").drop("__v")
-
-
 def regression(truth: Column, predicted: Column) -> dict[str, Column | Quantile]:
     """MAE, MSE, RMSE, R² (1 - residual over total squares), Pearson, bias, and the midpoint and lower medians of absolute errors."""
     t, p = truth.cast("double"), predicted.cast("double")
@@ -149,11 +134,41 @@ def regression_metrics(rows: DataFrame, truth: str, predicted: str, by: str | No
     return summary(rows, [by] if by else [], regression(F.col(truth), F.col(predicted)))
 
 
+def _placed(pairs: DataFrame, value: str, name: str) -> DataFrame:
+    """Column ``name``: the average rank of ``value``, where each of the distinct rows stands for ``c`` records.
+
+    Rows are dealt by ranges of the value and a hash of the row, so a value that most rows share is spread over many parts.
+    A part ranks its own values; only its first and last value can reach into other parts, and these two, with
+    their counts, are put together in a table of two rows a part. Nothing is joined on the value but that.
+    """
+    tie = F.xxhash64(*pairs.columns)
+    dealt = written(pairs.withColumn("__tie", tie).repartitionByRange(value, "__tie").withColumn("__part", F.spark_partition_id()).drop("__tie"), "ranks")
+    inside = Window.partitionBy("__part").orderBy(value)
+    own = F.sum("c").over(Window.partitionBy("__part", value))
+    upto = F.sum("c").over(inside.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = dealt.withColumns({"__own": own, "__upto": upto})
+    sides = placed.groupBy("__part").agg(F.sum("c").alias("__size"), F.min(F.struct(value, "__upto", "__own")).alias("__low"), F.max(F.struct(value, "__upto", "__own")).alias("__high"))
+    before = F.coalesce(F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a part
+    sides = written(sides.withColumn("__before", before), "sides")
+    ends = sides.select("__before", F.explode(F.array_distinct(F.array("__low", "__high"))).alias("e")).select(F.col(f"e.{value}").alias("__v"), (F.col("__before") + F.col("e.__upto") - F.col("e.__own")).alias("__start"), F.col("e.__own").alias("__n"))
+    ends = ends.groupBy("__v").agg(F.min("__start").alias("__start"), F.sum("__n").alias("__n"))
+    known = placed.join(F.broadcast(sides.select("__part", "__before")), "__part").join(F.broadcast(ends), F.col(value) == F.col("__v"), "left")
+    start = F.coalesce("__start", F.col("__before") + F.col("__upto") - F.col("__own"))
+    return known.withColumn(name, start + (F.coalesce("__n", "__own") + 1) / 2).select(*pairs.columns, name)
+
+
 def spearman(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """Correlation of average ranks; null for a constant side."""
-    valid = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull())
-    ranked = average_rank(average_rank(valid, truth, "__rt"), predicted, "__rp")
-    return ranked.agg(correlation(F.col("__rp"), F.col("__rt")).alias("spearman"))
+    """Correlation of average ranks; null for a constant side. Records with a null on either side take no part.
+
+    Equal records are counted first, and ranks come from positions (see ``_placed``). Ranks are taken about their
+    mean, which is known, so sums of squares lose no digits.
+    """
+    pairs = rows.where(F.col(truth).isNotNull() & F.col(predicted).isNotNull()).groupBy(F.col(truth).alias("t"), F.col(predicted).alias("p")).agg(F.count("*").alias("c"))
+    first = _placed(pairs, "t", "rt").groupBy("p", "rt").agg(F.sum("c").alias("c"))
+    ranked = written(_placed(first, "p", "rp"), "ranked")
+    middle = ranked.agg(((F.sum("c") + 1) / 2).alias("m"))
+    x, y, c = F.col("rt") - F.col("m"), F.col("rp") - F.col("m"), F.col("c")
+    return ranked.crossJoin(F.broadcast(middle)).agg(F.try_divide(F.sum(c * x * y), F.sqrt(F.sum(c * x * x)) * F.sqrt(F.sum(c * y * y))).alias("spearman"))
 
 
 def constant_baseline(rows: DataFrame, truth: str, learns: Column, kind: str = "mean") -> DataFrame:
