@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import classes, fingerprints
@@ -25,12 +25,21 @@ def _classes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _hashed(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, words): the difference hash of each document's word counts by cell; words fall into cells by MD5. Texts without words have none."""
-    words = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    cell = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % _CELLS).cast("int")
-    counts = words.groupBy("doc_id", cell.alias("cell")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("cell", "n"))).alias("at"))
-    values = F.transform(F.sequence(F.lit(0), F.lit(_CELLS - 1)), lambda c: F.coalesce(F.try_element_at("at", c), F.lit(0)))
-    return counts.select("doc_id", fingerprints.grid_words(values, *GRID).alias("words"))
+    """(doc_id, words): the difference hash of each document's word counts by cell, written; texts without words have none.
+
+    A cell's bit is set where it holds more words than the cell on its left. Cells without words set no bits, so
+    the bits come from the counted cells alone.
+    """
+    found = table(spark, folder, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
+    cell = (F.ascii("w") * 31 + F.ascii(F.substring("w", -1, 1)) * 7 + F.length("w")) % _CELLS
+    counts = found.groupBy("doc_id", cell.alias("cell")).agg(F.count("*").alias("n"))
+    row = Window.partitionBy("doc_id").orderBy("cell")
+    left = F.when(F.lag("cell").over(row) == F.col("cell") - 1, F.lag("n").over(row)).otherwise(0)
+    place = F.expr(f"cast(cell - 1 - cell div {GRID[0]} AS int)")  # of the bit between a cell and the one on its left; rows of cells follow each other
+    bits = counts.withColumns({"set": (F.col("cell") % GRID[0] > 0) & (F.col("n") > left), "place": place})
+    bit = F.expr("shiftleft(1L, 63 - place % 64)")
+    words = bits.groupBy("doc_id").agg(*(F.bit_or(F.when(F.col("set") & (F.expr("place div 64") == w), bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(4)))
+    return written(words.select("doc_id", F.array(*(f"w{w}" for w in range(4))).alias("words")), "hashes")
 
 
 def _named(name: str) -> str:
@@ -49,7 +58,7 @@ _DOCS = f"d AS (SELECT doc_id, md5(text) AS digest, {SPLIT} AS split, text FROM
 _CLASSES = "c AS (SELECT min(doc_id) AS representative, count(*) AS n, count_if(split = 'train') AS train, count_if(split = 'val') AS val, count_if(split = 'test') AS test FROM d WHERE digest IS NOT NULL GROUP BY digest)"
 _BIT = f"v[(i // {GRID[0] - 1}) * {GRID[0]} + i % {GRID[0] - 1} + 2] > v[(i // {GRID[0] - 1}) * {GRID[0]} + i % {GRID[0] - 1} + 1]"
 _HASHED = f"""w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM d),
-    e AS (SELECT doc_id, CAST('0x' || md5(w)[:8] AS BIGINT) % {_CELLS} AS cell, count(*) AS n FROM w GROUP BY 1, 2),
+    e AS (SELECT doc_id, (ascii(w) * 31 + ascii(right(w, 1)) * 7 + length(w)) % {_CELLS} AS cell, count(*) AS n FROM w GROUP BY 1, 2),
     f AS (SELECT doc_id, unnest(range({_CELLS})) AS cell FROM (SELECT DISTINCT doc_id FROM e)),
     g AS (SELECT doc_id, list(coalesce(n, 0) ORDER BY cell) AS v FROM f LEFT JOIN e USING (doc_id, cell) GROUP BY doc_id),
     h AS (SELECT doc_id, CAST(array_to_string(list_transform(range({(GRID[0] - 1) * GRID[1]}), lambda i: CASE WHEN {_BIT} THEN '1' ELSE '0' END), '') AS BIT) AS h FROM g)"""
@@ -99,7 +108,7 @@ def near_duplicate_counters(spark, folder):
 @query(f"WITH {_DOCS}, {_HASHED} SELECT a.doc_id AS doc_id_1, b.doc_id AS doc_id_2, CAST(bit_count(xor(a.h, b.h)) AS INTEGER) AS distance FROM h a JOIN h b ON a.doc_id % 20 >= 17 AND b.doc_id % 20 < 14 AND bit_count(xor(a.h, b.h)) <= 6")
 def fingerprint_probe(spark, folder):
     """A later audit: documents of the test split against the kept index of the train split."""
-    rows = written(_hashed(spark, folder).withColumn("split", split_by_id()), "hashes")
+    rows = _hashed(spark, folder).withColumn("split", split_by_id())
     index = fingerprints.build(rows.where("split = 'train'"), "doc_id", "words", _named("train_fingerprints"))
     found = fingerprints.probe(index, rows.where("split = 'test'"), "doc_id", "words")
     return found.select(F.col("id_1").alias("doc_id_1"), F.col("id_2").alias("doc_id_2"), "distance")
