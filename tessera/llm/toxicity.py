@@ -8,14 +8,16 @@ are put together (``i d i o t``). Units are runs of 1, 2 and 4 words of one sent
 place, and the whole sentence. The kernel of two units is the inner product of their gapped
 subsequences of three and four bytes, which also run over the marks between words, each
 weighted by ``GAP`` for every byte it skips, over the product of the units' norms; skips are
-bounded, so a unit has a short explicit list of subsequences, and inserted or replaced
-characters leave most of them. The norm is that of distinct subsequences up to ``NORM_BYTES``
+bounded, so a unit has a short explicit list of subsequences. A letter put in or left out
+breaks those that span more than it allows and leaves the others with lower weight; words of sure evidence are
+therefore learned with such forms too (``misspelled``), which teaches the machine forms it never saw. The norm is that of distinct subsequences up to ``NORM_BYTES``
 bytes and grows with the length beyond, so that repeated words don't add up.
 
 Labels belong to documents, so each labelled document is a bag of the units of its
 sentences: in a document that isn't toxic none is toxic; in a toxic one some unit is.
 Units may be positive that stand in ``LIFT`` times as large a share of the toxic documents
-as of the others, so a clean document that quotes an insult doesn't bar it. The machine is
+as of the others, so a clean document that quotes an insult doesn't bar it; near copies count as one document, and
+evidence counts beyond what the best of so many units has by chance. The machine is
 trained in rounds; each takes the best units of each toxic document as positive and adds
 the worst errors among the units of a part of the others; all parts have their turn. The landmarks' weights give one weight for
 each subsequence, by which the units of any text are scored exactly as by the kernel
@@ -44,7 +46,7 @@ TRAINING_DOCUMENTS = 4_096
 TRAINING_BYTES = 8_192
 LANDMARKS = 384
 BITS = 20
-GAP = 0.5
+GAP = 0.65
 #: Offsets of the bytes of a subsequence from its first byte.
 OFFSETS = [o for k, most in ((2, 4), (3, 4)) for o in itertools.combinations(range(1, most + 1), k)]
 #: Bytes that part words, and bytes that are taken out of words.
@@ -66,10 +68,11 @@ RUNS = (1, 2, 4)
 NORM_BYTES = 24
 #: A unit may be positive if its share of the toxic documents is this many times its share of the others.
 LIFT = 4
-#: Log-likelihood ratio from which a unit of such a share and of positive value is positive beside its document's best.
-SURE = 12.0
+#: Log-likelihood ratio, beyond the one that the best of so many units reaches by chance (2 ln of their number), from which
+#: a unit of such a share and of positive value is positive beside its document's best.
+SURE = 6.0
 #: The same from which the unit of most evidence of a toxic document is positive.
-LIKELY = 6.0
+LIKELY = -6.0
 #: Units of a toxic document that are positive at first.
 FIRST_UNITS = 3
 #: Units of this value and more, in which -1 and 1 are the machine's margins, count in a document's probability.
@@ -77,6 +80,11 @@ COUNTS_FROM = 0.0
 #: Units of clean documents that are negative from the start, and those that each round adds.
 NEGATIVES, ERRORS = 6_000, 2_000
 
+#: Single words of so many bytes and more are learned with an inserted or a missing letter too: so many forms of each, which weigh together as much as VIRTUAL_WEIGHT of the word.
+VIRTUAL_BYTES, VIRTUAL_FORMS, VIRTUAL_WEIGHT = 5, 24, 0.5
+#: Log-odds that a unit on the machine's positive margin has at least: it alone makes a text toxic.
+MARGIN_ODDS = 0.9
+
 RESULT = "doc_id long, score double"
 
 
@@ -417,7 +425,7 @@ def _squared_hinge(z: np.ndarray, y: np.ndarray, c: np.ndarray, ridge: float) ->
 
 @dataclass(frozen=True)
 class Evidence:
-    """Hashes of the units of toxic documents in order; whether each may be positive, and by how much it tells (log-likelihood ratio)."""
+    """Hashes of the units of toxic documents in order; whether each may be positive, and by how much it tells (log-likelihood ratio beyond chance)."""
 
     known: np.ndarray
     may: np.ndarray
@@ -429,20 +437,47 @@ class Evidence:
         same = self.known[spot] == h
         return same & self.may[spot], np.where(same, self.ratio[spot], 0.0)
 
+    def sure(self, word: bytes) -> bool:
+        """A single word of sure evidence."""
+        h = unit_hashes(W.word_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)])), np.array([0]), np.array([1]))
+        may, ratio = self.at(h)
+        return bool(may[0]) and ratio[0] >= SURE
+
+
+def _units_of_texts(docs: list[bytes], chosen: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, int]:
+    """Hashes of the units of the chosen documents (of the ``known`` ones), once for each text that isn't a near copy of another, and the number of such texts.
+
+    Near copies mostly agree in the smallest hash of their units of several words, which stands for the text; chance words of one copied
+    document would else look like evidence.
+    """
+    pairs, texts = [np.zeros((0, 2), np.uint64)], [np.zeros(0, np.uint64)]
+    for part in parts_of(docs, chosen):
+        row, first, behind, h = part.units()
+        if not len(row):
+            continue
+        begin = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        text = np.minimum.reduceat(np.where(behind - first > 1, h, np.uint64((1 << 64) - 1)), begin)
+        text = np.where(text == np.uint64((1 << 64) - 1), np.minimum.reduceat(h, begin), text)
+        texts.append(text)
+        mine = np.repeat(text, np.diff(np.append(begin, len(row))))
+        if known is not None:
+            keep = known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+            h, mine = h[keep], mine[keep]
+        pairs.append(np.stack([h, mine], 1))
+    return np.unique(np.concatenate(pairs), axis=0)[:, 0], len(np.unique(np.concatenate(texts)))
+
 
 def evidence(docs: list[bytes], toxic: np.ndarray, clean: np.ndarray) -> Evidence:
-    known, n1 = np.unique(np.concatenate([p.units()[3] for p in parts_of(docs, toxic)] or [np.zeros(0, np.uint64)]), return_counts=True)
-    n0 = np.zeros(len(known) + 1, np.int64)
+    units, all1 = _units_of_texts(docs, toxic)
+    known, n1 = np.unique(units, return_counts=True)
+    n0, all0 = np.zeros(len(known), np.int64), 0
     if len(known):
-        for part in parts_of(docs, clean):
-            h = part.units()[3]
-            spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            n0 += np.bincount(spot[known[spot] == h], minlength=len(n0))
-    n0, (all1, all0) = n0[:-1], (len(toxic), len(clean))
+        units, all0 = _units_of_texts(docs, clean, known)
+        n0 = np.bincount(np.searchsorted(known, units), minlength=len(known))
     expected = (n1 + n0) / max(all1 + all0, 1)
     with np.errstate(divide="ignore", invalid="ignore"):
         ratio = 2 * sum(np.where(n > 0, n * np.log(n / e), 0.0) for n, e in ((n1, expected * all1), (n0, expected * all0), (all1 - n1, (1 - expected) * all1), (all0 - n0, (1 - expected) * all0)))
-    return Evidence(known, n1 * all0 > LIFT * n0 * all1, ratio)
+    return Evidence(known, n1 * all0 > LIFT * n0 * all1, ratio - 2 * np.log(max(len(known), 1)))
 
 
 def _positives(docs: list[bytes], toxic: np.ndarray, e: Evidence, table: np.ndarray | None = None, bias: float = 0.0, any_best: bool = False) -> dict[bytes, int]:
@@ -508,6 +543,23 @@ def _sample(docs: list[bytes], clean: np.ndarray, e: Evidence, most: int) -> lis
     return [kind[key] for kind in kinds for key in sorted(kind)[: most // 2]]
 
 
+def misspelled(word: bytes) -> list[bytes]:
+    """VIRTUAL_FORMS forms of a single word with one letter put in or left out behind its first letter, at places and with letters that a
+    hash of the word begins; no form for short words and for units of several words."""
+    if len(word) < VIRTUAL_BYTES or _END in word:
+        return []
+    letters = bytes(range(0x61, 0x7B))
+    step, out = int(W.word_hashes(np.frombuffer(word, np.uint8), np.array([0]), np.array([len(word)]))[0]) % 26, []
+    for k in range(VIRTUAL_FORMS):
+        place = 1 + k % (len(word) - 1)
+        if k % 4 == 3:
+            out.append(word[:place] + word[place + 1 :])
+        else:
+            letter = (step + 7 * k + place) % 26
+            out.append(word[:place] + letters[letter : letter + 1] + word[place:])
+    return sorted(set(out) - {word})
+
+
 def train(docs: list[bytes], labels: np.ndarray, rounds: int = 4, ridge: float = 0.3) -> Machine:
     """``docs``: documents' bytes as ``unhidden`` leaves them."""
     labels = np.asarray(labels)
@@ -523,14 +575,17 @@ def train(docs: list[bytes], labels: np.ndarray, rounds: int = 4, ridge: float =
         by_rank = sorted(positive, key=lambda u: (-positive[u], u))
         short = [u for u in by_rank if len(u) <= 2 * NORM_BYTES] or by_rank
         others = [u for u in errors if len(u) <= 2 * NORM_BYTES]
-        landmarks = list(dict.fromkeys(short[: LANDMARKS // 2] + others[: LANDMARKS // 2]))
+        virtual = {u: forms for u in by_rank if (forms := misspelled(u)) and e.sure(u)}
+        spelt = [f for forms in itertools.zip_longest(*virtual.values()) for f in forms if f]
+        landmarks = list(dict.fromkeys(short[: LANDMARKS // 4] + spelt[: LANDMARKS // 4] + others[: LANDMARKS // 2]))
         kernel = Kernel(landmarks)
         values, vectors = np.linalg.eigh(kernel(landmarks).astype(float))
         good = values > 1e-4 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        pos, neg = sorted(positive), sorted(negative.keys() - positive.keys())
+        weights = {f: VIRTUAL_WEIGHT * positive[u] / len(forms) for u, forms in virtual.items() for f in forms} | positive
+        pos, neg = sorted(weights), sorted(negative.keys() - weights.keys())
         z = np.hstack([kernel(pos + neg) @ root, np.ones((len(pos) + len(neg), 1))])
-        weight = np.array([positive[u] for u in pos], float)
+        weight = np.array([weights[u] for u in pos], float)
         c = np.concatenate([weight / weight.sum() * len(neg), np.ones(len(neg))]) * 0.5
         w = _squared_hinge(z, np.repeat([1.0, -1.0], [len(pos), len(neg)]), c, ridge)
         table, bias = kernel.table(root @ w[:-1]), float(w[-1])
@@ -559,9 +614,10 @@ def _noisy_or(values: list[list[float]], toxic: np.ndarray) -> tuple[float, floa
         p = eps + (1 - 2 * eps) * (1 - clean)
         return float(-(weight * np.where(toxic, np.log(p), np.log(1 - p))).sum())
 
-    best = min((loss(a, b), a, b) for a in np.arange(1.0, 9.0) for b in np.arange(-9.0, 3.0))
+    best = min((loss(a, b), a, b) for a in np.arange(1.0, 9.0) for b in np.arange(-9.0, 3.0) if a + b >= MARGIN_ODDS)
     for step in (0.5, 0.25, 0.12):
-        best = min((loss(best[1] + i * step, best[2] + k * step), best[1] + i * step, best[2] + k * step) for i in (-1, 0, 1) for k in (-1, 0, 1))
+        near = [(best[1] + i * step, best[2] + k * step) for i in (-1, 0, 1) for k in (-1, 0, 1)]
+        best = min((loss(a, b), a, b) for a, b in near if a + b >= MARGIN_ODDS)
     return float(best[1]), float(best[2])
 
 
