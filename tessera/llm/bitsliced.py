@@ -41,11 +41,8 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def build_block(ids: np.ndarray, values: np.ndarray, is_query: np.ndarray) -> dict:
     """Index of a block: ids in ascending order, and the slices of each component's offset from its minimum."""
-    order = np.lexsort((*values.T[::-1], ids))[::-1]  # of rows that share an id the largest vector comes first
+    order = np.lexsort((*values.T[::-1], ids))
     ids, values, is_query = ids[order], values[order], is_query[order]
-    first = np.ones(len(ids), bool)
-    first[1:] = ids[1:] != ids[:-1]
-    ids, values, is_query = ids[first][::-1], values[first][::-1], is_query[first][::-1]
     least = values.min(0)
     offset = values - least
     bits = np.array([int(x).bit_length() for x in offset.max(0)], np.uint8)
@@ -95,7 +92,7 @@ class Block:
         self.complements = self.slices ^ self.all
 
     def top(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """(id, score) of the k best rows but the query's own, by score, then id."""
+        """(id, score) of the k best rows but those of the query's id, by score, then id."""
         constant, weighted = 0, [[]]
         for d, q in enumerate(query.tolist()):
             if q == 0 or d >= len(self.bits):
@@ -114,9 +111,8 @@ class Block:
                         weighted[j + s].append(table[at + s])
         slices = [x for x in add_up(weighted) if x is not None]
         left, sure = self.all.copy(), np.zeros(self.words, np.uint64)
-        own = int(np.searchsorted(self.ids, query_id))
-        if own < self.n and self.ids[own] == query_id:
-            left[own // 64] &= ~np.uint64(1 << own % 64)
+        own = np.arange(np.searchsorted(self.ids, query_id), np.searchsorted(self.ids, query_id, "right"))  # rows of the query's id
+        np.bitwise_and.at(left, own // 64, ~(np.uint64(1) << (own % 64).astype(np.uint64)))
         need = k
         for s in reversed(slices):
             have = left & s
@@ -148,7 +144,8 @@ def index(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
     """The bit-sliced index of floor(scale * x) as a table in the shared folder, one row a block.
 
     Rows whose id or vector is null, or whose vector holds a null or non-finite component,
-    take no part. Of rows that share an id the one with the largest vector does. A shorter
+    take no part. Rows that share an id are rows of their own; none of them is an answer to
+    another, and as queries they share one list of answers. A shorter
     vector counts as filled up with zeros. ``is_query`` marks the rows to search for.
     """
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
@@ -160,7 +157,7 @@ def index(vectors: DataFrame, is_query: Column, id_column: str = "vec_id", vecto
         found = build_block(group["id"].to_numpy(), values, group["is_query"].to_numpy(zero_copy_only=False))
         return pa.Table.from_pylist([{"block": group["block"][0].as_py()} | found], schema=_SCHEMA)
 
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "vector"), F.lit(blocks)).cast("int"))
     return written(dealt.groupBy("block").applyInArrow(build, _INDEX), "bit-slices")
 
 

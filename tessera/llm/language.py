@@ -87,18 +87,23 @@ class Model:
 def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
     """Learns from text and lang of at most ``each`` documents of a language that meet ``learns`` and have an id, a text and a lang.
 
-    Of rows that share id and language the smallest text is read. Counts are made where the
+    Of rows that share id and language the smallest text is read; a language all of whose texts are above TRAINING_BYTES learns from
+    its shortest one. Counts are made where the
     documents are read and added up by Spark; the driver gets one row for each entry and language.
     """
     # Documents by the size of their hash in steps of 2 ** (1 / STEPS), the smallest hashes last.
     part = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 60)) + 1) / F.lit(float(1 << 60))
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & learns).select("doc_id", "lang", "text", F.floor(-STEPS * F.log2(part)).alias("__step"))
     may = known.where(F.octet_length("text") <= TRAINING_BYTES)
+    share = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     last = _thresholds(may.groupBy("lang", "__step").count().collect(), each)  # at most 60 * STEPS rows for each language
-    if not last:
+    if not share:
         return Model([], np.zeros(0), {}, {})
     bound = docs.sparkSession.createDataFrame(sorted(last.items()), "lang string, __last long")
     chosen = may.join(F.broadcast(bound), "lang").where("__step >= __last").groupBy("lang", "doc_id").agg(F.min("text").alias("text")).select("lang", "text")
+    if long := sorted(share.keys() - last.keys()):  # languages without a text within the bound learn from their shortest one
+        shortest = known.where(F.col("lang").isin(long)).groupBy("lang").agg(F.min(F.struct(F.octet_length("text").alias("size"), "text")).alias("one"))
+        chosen = chosen.unionByName(shortest.select("lang", "one.text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -119,8 +124,7 @@ def fit(docs: DataFrame, learns: Column, each: int = DOCUMENTS_EACH) -> Model:
 
     bounded_batches(docs.sparkSession)
     counted = chosen.mapInArrow(W.lean(run), "lang string, n int, entry long, seen long").groupBy("n", "entry", "lang").agg(F.sum("seen").alias("seen")).toArrow()
-    langs = sorted(last)
-    share = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    langs = sorted(share)
     prior = np.array([share[x] for x in langs], float)
     n_of, entry, seen = counted["n"].to_numpy(), counted["entry"].to_numpy().view(np.uint64), counted["seen"].to_numpy()
     lang_of = pc.index_in(counted["lang"], pa.array(langs)).to_numpy()

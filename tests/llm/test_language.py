@@ -89,3 +89,16 @@ def test_rare_language_is_learned(spark, docs_of):
 
 def test_thresholds_bound_the_sample():
     assert language._thresholds([("a", 5, 3), ("a", 9, 4), ("a", 1, 90), ("b", 2, 500), ("b", 1, 1)], 10) == {"a": 5, "b": 2}
+
+
+def test_language_of_long_texts_only_is_learned(spark, docs_of):
+    long = "tak jest dobrze mamy czas " * 800
+    docs = docs_of([(1, "the dog and the cat " * 5), (2, long), (3, long + " jeszcze"), (4, "mamy czas"), (5, "the cat")]).withColumn("lang", F.when(F.col("doc_id") == 1, "en").when(F.col("doc_id") < 4, "pl"))
+    assert len(long) > language.TRAINING_BYTES
+    found = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()}
+    assert found == {1: "en", 2: "pl", 3: "pl", 4: "pl", 5: "en"}
+
+
+def test_ties_go_to_the_first_language(spark, docs_of):
+    docs = docs_of([(1, "same words here"), (2, "same words here"), (3, "same words")]).withColumn("lang", F.when(F.col("doc_id") == 1, "xx").when(F.col("doc_id") == 2, "aa"))
+    assert {r["lang_pred"] for r in language.predict(docs, language.fit(docs, F.lit(True))).collect()} == {"aa"}

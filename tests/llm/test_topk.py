@@ -8,16 +8,11 @@ from tessera.llm import bitsliced
 
 
 def brute(rows, k):
-    best = {}
-    for i, v in rows:  # of rows that share an id the largest vector takes part
-        if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v):
-            q = tuple(int(np.floor(64 * x)) for x in v)
-            best[i] = max(best.get(i, q), q)
+    held = [(i, tuple(int(np.floor(64 * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i in best:
-        if i % 20 == 0:
-            scored = sorted(((-sum(a * b for a, b in zip(best[i], best[j], strict=False)), j) for j in best if j != i))[:k]
-            out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
+    for i in {i for i, _ in held if i % 20 == 0}:  # rows that share an id ask together, and don't answer each other
+        scored = sorted((-sum(a * b for a, b in zip(q, v, strict=False)), j) for x, q in held if x == i for j, v in held if j != i)[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scored)]
     return sorted(out)
 
 
