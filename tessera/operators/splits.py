@@ -23,6 +23,12 @@ def targets(n: int, train: float, val: float) -> dict[str, int]:
     return {"train": a, "val": b, "test": n - a - b}
 
 
+def targets_of(n: Column, train: float, val: float) -> dict[str, Column]:
+    """``targets`` of a column of counts."""
+    a, b = (F.bround(n * F.lit(share), 0).cast("long") for share in (train, val))
+    return {"train": a, "val": b, "test": n - a - b}
+
+
 def stratum(host: Column, disease: Column, healthy: Column) -> Column:
     return F.when(healthy, F.lit(HEALTHY_STRATUM)).otherwise(F.concat_ws("___", host, disease))
 

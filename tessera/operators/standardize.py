@@ -48,6 +48,12 @@ def columns_like(columns: list[str], keywords: tuple[str, ...]) -> list[str]:
     return [c for c in columns if any(k in c.lower() for k in keywords)]
 
 
+def names_like(names: Column, words: tuple[str, ...]) -> Column:
+    """Those of an array of names that hold one of the lower-case ``words``, whatever their case."""
+    return F.filter(names, lambda n: F.lower(n).rlike("|".join(map(re.escape, words))))
+
+
+
 def standardized(raw: DataFrame, ordinal: str, default_source: str = DEFAULT_SOURCE) -> DataFrame:
     """Records with paths as written; ``with_paths`` looks them up among files."""
     roles = resolved([c for c in raw.columns if c != ordinal])

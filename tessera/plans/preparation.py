@@ -42,10 +42,11 @@ def healthy_rules(spark, folder):
     return table(spark, folder, "documents").select("doc_id", *(c.alias(n) for n, c in rules.items()))
 
 
-@query("SELECT column_name AS name FROM (DESCRIBE SELECT * FROM lineitem) WHERE lower(column_name) LIKE '%price%' OR lower(column_name) LIKE '%date%' OR lower(column_name) LIKE '%key%'")
+@query("""SELECT doc_id, array_to_string(list_filter(string_split(string_split(text, chr(10))[1], ' '), lambda w: contains(lower(w), 'an') OR contains(lower(w), 'er') OR contains(lower(w), 'ion')), ' ') AS names FROM documents""")
 def keyword_columns(spark, folder):
-    names = standardize.columns_like(table(spark, folder, "lineitem").columns, ("price", "date", "key"))
-    return spark.createDataFrame([(n,) for n in names], "name string")
+    """Names in a header that hold a keyword; the header is a text's first line."""
+    header = F.split(F.get(F.split("text", "\n"), F.lit(0)), " ")
+    return table(spark, folder, "documents").select("doc_id", F.array_join(standardize.names_like(header, ("an", "er", "ion")), " ").alias("names"))
 
 
 @query("""WITH e AS (SELECT event_id, ['', 'Zero-byte file', NULL][event_id % 3 + 1] AS image_error, CASE WHEN event_id % 4 = 0 THEN '' END AS mask_error, CASE WHEN event_id % 5 = 0 THEN 'extreme_aspect_ratio' END AS unusual_image_flag, CASE WHEN event_id % 8 = 0 THEN 'note' END AS ratio_discrepancy_note FROM events)
@@ -84,15 +85,15 @@ def file_classes(spark, folder):
     return table(spark, folder, "pages").select("page_id", discovery.file_class(path, "root").alias("kind"))
 
 
-@query("""WITH f AS (SELECT 'r/meta_' || n_nationkey || '.csv' AS path, n_nationkey % 4 AS length, 0 AS rank FROM nation UNION ALL SELECT 'r/t' || n_nationkey || '.tsv', n_nationkey % 3, 1 FROM nation UNION ALL SELECT 'r/labels' || n_nationkey || '.json', n_nationkey % 5, 2 FROM nation)
-    SELECT row_number() OVER (ORDER BY rank, length DESC, path) - 1 AS place, path FROM f""")
+@query("""WITH f AS (SELECT 'r/meta_' || page_id || '.csv' AS path, strlen(html) AS length, 0 AS rank FROM pages UNION ALL SELECT 'r/t' || page_id || '.tsv', strlen(url), 1 FROM pages UNION ALL SELECT 'r/labels' || page_id || '.json', strlen(html), 2 FROM pages)
+    SELECT row_number() OVER (ORDER BY rank, coalesce(length, -1) DESC, path) - 1 AS place, path FROM f""")
 def metadata_order(spark, folder):
-    """The order in which metadata files are tried."""
-    key, files = F.col("n_nationkey"), None
-    for head, tail, of in (("r/meta_", ".csv", 4), ("r/t", ".tsv", 3), ("r/labels", ".json", 5)):
-        part = table(spark, folder, "nation").select(F.concat(F.lit(head), key, F.lit(tail)).alias("path"), (key % of).alias("length"), F.lit("metadata").alias("kind"))
+    """The order in which metadata files are tried; the files are named after pages, and as long as these."""
+    pages, files = table(spark, folder, "pages"), None
+    for head, tail, of in (("r/meta_", ".csv", "html"), ("r/t", ".tsv", "url"), ("r/labels", ".json", "html")):
+        part = pages.select(F.concat(F.lit(head), "page_id", F.lit(tail)).alias("path"), F.coalesce(F.octet_length(of), F.lit(-1)).alias("length"), F.lit("metadata").alias("kind"))
         files = part if files is None else files.unionByName(part)
-    return spark.createDataFrame(list(enumerate(discovery.ranked_metadata(files))), "place long, path string")
+    return discovery.metadata_places(files)
 
 
 @query("""WITH f AS (SELECT 'root/a/p' || page_id || '.jpg' AS path, 'image' AS kind FROM pages WHERE page_id % 3 = 0 UNION ALL SELECT 'root/b/p' || page_id || '.jpg', 'image' FROM pages WHERE page_id % 6 = 0 UNION ALL SELECT 'root/sub/q' || page_id || '.jpg', 'mask' FROM pages WHERE page_id % 3 = 1),
@@ -138,9 +139,9 @@ def split_assignment(spark, folder):
 
 @query("""SELECT event_type, a AS train, b AS val, n - a - b AS test FROM (SELECT event_type, count(*) AS n, round_even(count(*) * 0.7::DOUBLE, 0)::BIGINT AS a, round_even(count(*) * 0.15::DOUBLE, 0)::BIGINT AS b FROM events GROUP BY event_type)""")
 def split_targets(spark, folder):
-    """Rows wanted of each split, for each type of event (a few)."""
-    counted = table(spark, folder, "events").groupBy("event_type").count().collect()
-    return spark.createDataFrame([(r["event_type"], *splits.targets(r["count"], 0.7, 0.15).values()) for r in counted], "event_type string, train long, val long, test long")
+    """Rows wanted of each split, for each type of event."""
+    counted = table(spark, folder, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    return counted.select("event_type", *(c.alias(k) for k, c in splits.targets_of(F.col("n"), 0.7, 0.15).items()))
 
 
 _MANIFEST = """m AS (SELECT p_partkey AS image_id, 'images/' || p_partkey || '.jpg' AS image_relpath, 'annotations/' || p_partkey || '.png' AS mask_relpath, p_brand AS host, p_type AS disease, CASE WHEN p_size % 7 = 0 THEN p_brand || ' healthy' ELSE 'Class ' || (p_partkey % 10) END AS display_class,
@@ -210,18 +211,20 @@ def manifest_rows(spark, folder):
     return discovery.read_manifest(spark, f"{path}/orders", "o_orderkey bigint, o_orderstatus string, o_totalprice double")
 
 
-@query("""SELECT 'e' || event_id AS image, CASE WHEN event_id % 10 = 0 THEN 'error' ELSE 'ok' END AS status, CASE WHEN event_id % 10 = 0 THEN 'failed, "so"' END AS error, CASE WHEN event_id % 10 <> 0 THEN event_type END AS predicted_class,
-    CASE WHEN event_id % 10 <> 0 THEN 0.75::DOUBLE END AS confidence, CASE WHEN event_id % 10 <> 0 THEN event_id % 3 END AS warning_count FROM events""")
+@query("""SELECT 'e' || event_id AS image, CASE WHEN bad THEN 'error' ELSE 'ok' END AS status, CASE WHEN bad THEN 'failed, "so"' END AS error, CASE WHEN NOT bad THEN event_type END AS predicted_class,
+    CASE WHEN NOT bad THEN value END AS confidence, CASE WHEN NOT bad THEN 'second' END AS top2_class, CASE WHEN NOT bad THEN value / 2 END AS top2_confidence, CASE WHEN NOT bad THEN value - value / 2 END AS confidence_margin,
+    CASE WHEN NOT bad THEN value / 8 END AS normalized_entropy, CASE WHEN NOT bad THEN value / 4 END AS lesion_burden, CASE WHEN NOT bad THEN value * 25 END AS burden_percent, CASE WHEN NOT bad THEN event_id % 3 END AS warning_count
+    FROM (SELECT event_id, event_type, CAST(value AS DOUBLE) AS value, event_id % 10 = 0 AS bad FROM events)""")
 def batch_predictions_csv(spark, folder):
-    """The twelve columns of a batch's predictions, written and read back."""
-    e, good = F.col("event_id"), F.col("event_id") % 10 != 0
-    given = {
-        "image": F.concat(F.lit("e"), e), "status": F.when(good, "ok").otherwise("error"), "error": F.when(~good, 'failed, "so"'), "predicted_class": F.when(good, F.col("event_type")),
-        "confidence": F.when(good, F.lit(0.75)), "warning_count": F.when(good, e % 3),
-    }
-    rows = table(spark, folder, "events").select(*(given.get(n, F.lit(None).cast("double")).alias(n) for n in sinks.PREDICTION_COLUMNS))
+    """The twelve columns of a batch's predictions, written and read back; failed rows have a message alone."""
+    e, good, value = F.col("event_id"), F.col("event_id") % 10 != 0, F.col("value").cast("double")
+    numbers = {"confidence": value, "top2_confidence": value / 2, "confidence_margin": value - value / 2, "normalized_entropy": value / 8, "lesion_burden": value / 4, "burden_percent": value * 25}
+    given = {"image": F.concat(F.lit("e"), e), "status": F.when(good, "ok").otherwise("error"), "error": F.when(~good, 'failed, "so"')}
+    given |= {n: F.when(good, c) for n, c in {"predicted_class": F.col("event_type"), "top2_class": F.lit("second"), "warning_count": e % 3, **numbers}.items()}
+    rows = table(spark, folder, "events").select(*(given[n].alias(n) for n in sinks.PREDICTION_COLUMNS))
     read = spark.read.csv(sinks.write_batch_predictions(rows, fresh_path(spark, "batch")), header=True)
-    return read.select("image", "status", "error", "predicted_class", F.col("confidence").cast("double").alias("confidence"), F.col("warning_count").cast("long").alias("warning_count"))
+    kinds = {"warning_count": "long"} | dict.fromkeys(numbers, "double")
+    return read.select(*(F.col(n).cast(kinds.get(n, "string")).alias(n) for n in sinks.PREDICTION_COLUMNS))
 
 
 @query("""SELECT '{' || string_agg('"' || event_type || '":' || i, ',' ORDER BY i) || '}' AS value FROM (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS i FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL))""")

@@ -13,7 +13,7 @@ from tessera.operators import standardize
 from tessera.operators.selection import numbered
 
 # Fixed values.
-IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff", ".webp")
+IMAGE_SUFFIXES = (".jpg", ".jpeg", ".png", ".bmp", ".webp", ".tif", ".tiff")
 MASK_FOLDERS = ("mask", "masks", "annotation", "annotations", "label", "labels", "ground_truth", "gt", "segmentation", "segmentations")
 DOC_NAMES = ("readme", "license", "citation")
 METADATA_NAMES = ("meta", "dataset", "labels", "plantseg")
@@ -53,15 +53,18 @@ def exists(spark: SparkSession, root: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def ranked_metadata(found: DataFrame) -> list[str]:
-    """Metadata files in the order in which they are tried: tables with a telling name, other tables, the rest; larger first.
-
-    The list goes to the driver: it has a row for each metadata file, not for each record.
-    """
+def metadata_places(found: DataFrame) -> DataFrame:
+    """(place, path) of metadata files in the order in which they are tried: tables with a telling name, other tables, the rest; larger first."""
     name = F.lower(base_name(F.col("path")))
     tabular = name.rlike(r"\.(csv|tsv)$")
     rank = F.when(tabular & name.rlike("|".join(METADATA_NAMES)), 0).when(tabular, 1).otherwise(2)
-    return [r["path"] for r in found.where("kind = 'metadata'").orderBy(rank, F.desc("length"), "path").select("path").collect()]
+    rows = found.where("kind = 'metadata'").select("path", "length", rank.alias("rank"))
+    return numbered(rows, [F.col("rank").asc(), F.col("length").desc(), F.col("path").asc()], "place").select("place", "path")
+
+
+def ranked_metadata(found: DataFrame) -> list[str]:
+    """Metadata files in the order of ``metadata_places``. The list goes to the driver: it has a row for each metadata file, not for each record."""
+    return [r["path"] for r in metadata_places(found).orderBy("place").collect()]
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame | None:
