@@ -1,6 +1,7 @@
 """The registered queries of this subpackage, and the pipeline against a brute-force version."""
 
 import hashlib
+import random
 import re
 
 import duckdb
@@ -21,6 +22,8 @@ COLUMNS = {
     "licence": "doc_id n_words n_base first_word last_word base_labels",
     "op1": "query_id rank vec_id score", "op2": "doc_id n_words n_removed kept_sha256", "op3": "doc_id n_shingles component_id", "op4": "doc_id held_out lang_pred score", "op5": "doc_id item_id first_word similarity", "op6": "doc_id held_out score predicted",
     "op7": "doc_id n_tokens ids_sha256 decoded_sha256", "op8": "doc_id held_out score predicted", "op9": "page_id payload_bytes payload_digest record_type refers_to", "op10": "doc_id n_words n_base first_word last_word base_labels labels score",
+    "op11": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op12": "word form root n n_near form_n",
+    "op13": "vendor_id segment_no first_day n_days total spread cost n_segments best_cost",
 }
 
 
@@ -28,7 +31,7 @@ COLUMNS = {
 def test_queries_return_their_columns(spark, name):
     out = queries.queries()[name](spark, SF)
     assert out.columns[: len(COLUMNS[name.split("_")[0]].split())] == COLUMNS[name.split("_")[0]].split()
-    n = {"op1": None, "op5": None, "op9": "pages"}.get(name.split("_")[0], "documents")
+    n = {"op1": None, "op5": None, "op9": "pages", "op12": None, "op13": None}.get(name.split("_")[0], "documents")
     assert n is None or out.count() == spark.read.parquet(f"{SF}/{n}.parquet").count()
 
 
@@ -88,3 +91,33 @@ def test_stages_keep_columns_and_empty_tables(spark):
         assert stage(spark, docs.limit(20), SF).columns == docs.columns
         assert stage(spark, docs.where(F.lit(False)), SF).count() == 0
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "repeats", "benchmark", "encoding"]
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    """Null ids and texts, repeated rows, a very long text and a column with an inner name."""
+    draw = random.Random(6)
+    words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 9))) for _ in range(900)]
+    prose = lambda n: " ".join(draw.choice(words) for _ in range(n))
+    long, plain = prose(40_000), prose(60)
+    odd = [(None, prose(50)), (None, None), (900_001, None), (900_002, ""), (900_003, plain), (900_003, plain), (900_004, long), (900_005, "x"), (900_006, plain + " and more")]
+    kinds = spark.read.parquet(f"{SF}/documents.parquet").schema
+    rows = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in odd], kinds).withColumn("root", F.lit("r"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumn("root", F.lit("r")).unionByName(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r["doc_id"] for r in found]
+    digest = {r["doc_id"]: r["decoded_sha256"] for r in found}
+    assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None})  # repeated rows are one document
+    assert all(digest[i] == hashlib.sha256(b"").hexdigest() for i in (900_001, 900_002) if i in digest)
+    judged = {r["doc_id"] for r in quality_of(spark, docs).where("score >= 0.5").collect()}
+    assert (900_004 in judged) == (900_004 in digest) and (900_003 in judged) <= (900_003 in digest)
+    if 900_004 in digest:
+        assert next(r["n_tokens"] for r in found if r["doc_id"] == 900_004) > 10_000
+
+
+def quality_of(spark, docs):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    weights, bias = quality.fit(docs, labels, "quality", queries.fold(3) != 1)
+    return quality.score(docs, weights, bias)
