@@ -9,6 +9,8 @@ from tessera.tables import written
 
 #: A node is hot that has at least one in so many of the edges' ends. There are no more hot nodes than this, so they are broadcast.
 HOT_ONE_IN = 2_048
+#: Graphs of fewer ends have no node that one task couldn't hold; their joins are left to Spark, which saves the driver many small broadcasts.
+LARGE = 250_000
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -18,6 +20,8 @@ def _checksum(edges: DataFrame) -> tuple:
 
 def _with_least(edges: DataFrame, least: DataFrame, ends: int) -> DataFrame:
     """``edges`` (u, v) with the ``m`` of their u. Edges of hot nodes stay where they are and learn it by broadcast; the others are joined."""
+    if ends < LARGE:
+        return edges.join(least.select("u", "m"), "u")
     hot = least.where(F.col("degree") * HOT_ONE_IN >= ends).select(F.col("u").alias("__hot"), F.col("m").alias("__m"))
     marked = edges.join(F.broadcast(hot), F.col("u") == F.col("__hot"), "left")
     cold = marked.where("__hot IS NULL").select("u", "v").join(least.select("u", "m"), "u")

@@ -3,6 +3,7 @@
 import random
 import statistics
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import components
@@ -15,8 +16,9 @@ def test_a_large_star_and_a_long_chain(spark):
     assert sorted(map(tuple, found.collect())) == [(0, 300_001), (2_000_000, 3_001)]
 
 
-def test_edges_of_a_hot_node_stay_apart(spark):
+def test_edges_of_a_hot_node_stay_apart(spark, monkeypatch):
     """What the joins of a round make of a star, dealt over tasks: none has five times the median."""
+    monkeypatch.setattr(components, "LARGE", 100_000)
     edges = spark.range(1, 200_001).select(F.lit(0).cast("long").alias("u"), F.col("id").alias("v")).repartition(16)
     least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("degree"))
     met = components._with_least(edges, least, 200_000)
@@ -24,7 +26,9 @@ def test_edges_of_a_hot_node_stay_apart(spark):
     assert sum(sizes) == 200_000 and len(sizes) >= 8 and max(sizes) < 5 * statistics.median(sizes)
 
 
-def test_random_graphs(spark):
+@pytest.mark.parametrize("large", [0, 250_000])
+def test_random_graphs(spark, monkeypatch, large):
+    monkeypatch.setattr(components, "LARGE", large)
     draw = random.Random(3)
     for n, m in ((50, 30), (300, 200), (300, 600)):
         links = [(draw.randrange(n), draw.randrange(n)) for _ in range(m)] + [(0, k) for k in range(0, n, 3)]
