@@ -33,11 +33,11 @@ def scored(df: DataFrame, column: str, load: Callable[[], Callable], result: str
     return df.withColumn("__scored", run(F.col(column))).select("*", "__scored.*").drop("__scored")
 
 
-def batch_scored(df: DataFrame, columns: list[str], load: Callable[[], Callable], result: str, batch_size: int = 256) -> Column:
-    """Column of a vectorised model (NumPy arrays in, array out), by Spark's batch prediction function."""
+def batch_scored(df: DataFrame, columns: list[str], load: Callable[[], Callable], result: str, batch_size: int = 256, shapes: list[list[int]] | None = None) -> Column:
+    """Column of a vectorised model (NumPy arrays in, array out), by Spark's batch prediction function. Array columns need the ``shapes`` of their rows."""
     from pyspark.ml.functions import predict_batch_udf
 
-    return predict_batch_udf(load, return_type=T._parse_datatype_string(result), batch_size=batch_size)(*columns)
+    return predict_batch_udf(load, return_type=T._parse_datatype_string(result), batch_size=batch_size, input_tensor_shapes=shapes)(*columns)
 
 
 def warnings(confidence: Column, threshold: float | None) -> Column:

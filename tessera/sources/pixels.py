@@ -14,7 +14,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import images
+from tessera.operators import images, tensors
 from tessera.sources import discovery, png
 from tessera.tables import bounded_batches
 
@@ -48,7 +48,7 @@ def _facts(key: str, is_mask: bool, pixels: np.ndarray, side: int, components: b
 
 def _reduced(rows: DataFrame, pixels_of: Callable[[dict], np.ndarray | None], each: Callable[[dict, np.ndarray], tuple], schema: str) -> DataFrame:
     """``each`` of the decoded pixels of every row, by Arrow batches in the stage that reads them; rows that don't decode are left out."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "binary": pa.binary()}
     fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,3 +134,9 @@ def planes(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
         decoded = decoded.join(F.broadcast(keys), "key", "left_semi")
     found = _reduced(decoded, _of_struct, lambda row, pixels: (row["key"].as_py(), images.similarity_plane(pixels).astype(np.float32).tobytes()), PLANE)
     return wanted.join(found, file_key(F.col("path")) == F.col("key")).select("path", "plane")
+
+
+def tensor_rows(spark: SparkSession, root: str, shape: tensors.Shape) -> DataFrame:
+    """(key, tensor) of every image below ``root`` that decodes: normalised model inputs, made in the stage that reads the files."""
+    decoded = _images(spark, root).where(~F.coalesce(_is_mask(spark, root), F.lit(False)))
+    return _reduced(decoded, _of_struct, lambda row, pixels: (row["key"].as_py(), tensors.tensor_of(pixels, shape)), "key string, tensor array<float>")
