@@ -68,7 +68,8 @@ def restored_pixels(tensors: Column) -> Column:
         out = np.full(len(values), None, object)
         if known.any():
             flat = np.clip(restored(np.stack(values[known])) + 1e-4, 0, 255).astype(np.int32)
-            out[known] = list(flat)
+            for place, row in zip(np.flatnonzero(known), flat, strict=True):
+                out[place] = row
         return pd.Series(out)
 
     return run(tensors)
