@@ -45,8 +45,9 @@ SALTED_FROM, SALT = 8_192, 64
 #: The first round looks at one prefix n-gram in so many, takes the first and the preceding classes by size of
 #: its group (NEIGHBOURS in all), and compares each class with the TRIED others it meets most often.
 LOOKED_AT, NEIGHBOURS, TRIED = 4, 9, 16
-#: Rounds of bounded comparisons before the last one, which pairs what is still apart.
-ROUNDS = 3
+#: Rounds of bounded comparisons before the last one, which pairs what is still apart: two from this similarity on. Below it prefixes are
+#: longer, so more is apart and meets more often, and a third round costs less than it saves the last.
+TWO_ROUNDS_FROM = 90
 #: Hash ranges of the suffix filter.
 RANGES = 64
 #: Ids of candidates are broadcast up to this many, else joined by a shuffle.
@@ -310,7 +311,7 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
     roots = _bounded(components(links.select(F.col("x").alias("u"), F.col("y").alias("v"))), "components")
     # More rounds: the same with neighbours at random, among n-grams that still lie in two components. Each leaves fewer to the last.
     open_ = _still_open(shared.drop("near", "next"), roots)
-    for k in range(ROUNDS - 1):
+    for k in range(1 if percent >= TWO_ROUNDS_FROM else 2):
         if open_.isEmpty():
             break
         some = open_.where(F.pmod("token", F.lit(LOOKED_AT)) == k % LOOKED_AT)
