@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars as S
 from tessera.operators import inference, metrics, profile, scoring, selection, standardize, validate
-from tessera.plans.registry import SPLIT, query, rounded, split_by_id
+from tessera.plans.registry import SPLIT, query, rounded, rounded_doubles, split_by_id
 from tessera.tables import table
 
 # ---- classification ----
@@ -152,12 +152,12 @@ def _prices(spark, folder) -> DataFrame:
 
 @query(f"WITH {_ERRORS} SELECT {_REGRESSION} FROM e")
 def regression_metrics(spark, folder):
-    return metrics.regression_metrics(_prices(spark, folder), "truth", "predicted").withColumns(rounded(*_REGRESSION_NAMES))
+    return metrics.regression_metrics(_prices(spark, folder), "truth", "predicted").withColumns(rounded_doubles(*_REGRESSION_NAMES))
 
 
 @query(f"WITH {_ERRORS} SELECT class, {_REGRESSION} FROM e GROUP BY class")
 def regression_by_class(spark, folder):
-    return metrics.regression_metrics(_prices(spark, folder), "truth", "predicted", "class").withColumns(rounded(*_REGRESSION_NAMES))
+    return metrics.regression_metrics(_prices(spark, folder), "truth", "predicted", "class").withColumns(rounded_doubles(*_REGRESSION_NAMES))
 
 
 @query(f"WITH {_PRICES}, k AS (SELECT rank() OVER (ORDER BY truth) + (count(*) OVER (PARTITION BY truth) - 1) / 2.0 AS a, rank() OVER (ORDER BY predicted) + (count(*) OVER (PARTITION BY predicted) - 1) / 2.0 AS b FROM r) SELECT round(corr(a, b), 6) AS spearman FROM k")
@@ -175,7 +175,7 @@ def _baseline_sql(kind: str) -> str:
 def constant_baseline(spark, folder):
     rows, learns = _prices(spark, folder), F.col("l_orderkey") % 10 < 7
     found = [metrics.regression_metrics(metrics.constant_baseline(rows, "truth", learns, kind), "truth", "baseline").drop("median_ae_lower").withColumn("kind", F.lit(kind)) for kind in ("mean", "median")]
-    return found[0].unionByName(found[1]).withColumns(rounded(*(c for c in _REGRESSION_NAMES if c != "median_ae_lower")))
+    return found[0].unionByName(found[1]).withColumns(rounded_doubles(*(c for c in _REGRESSION_NAMES if c != "median_ae_lower")))
 
 
 @query(f"""WITH {_PRICES}, c AS (SELECT *, predicted * 3 - 0.5 AS raw FROM r), x AS (SELECT *, greatest(0, least(1, raw)) AS c FROM c)

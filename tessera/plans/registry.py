@@ -37,3 +37,9 @@ DIGITS = 6
 
 def rounded(*names: str, digits: int = DIGITS) -> dict[str, Column]:
     return {n: F.round(n, digits) for n in names}
+
+
+def rounded_doubles(*names: str, digits: int = DIGITS) -> dict[str, Column]:
+    """``rounded`` for doubles, as SQL engines round them: the scaled double, half away from zero, with its sign. A small negative number becomes -0.0, where Spark's decimal rounding drops the sign."""
+    scale = float(10**digits)
+    return {n: F.signum(n) * (F.round(F.abs(n) * scale, 0) / scale) for n in names}
