@@ -80,9 +80,8 @@ def near_duplicate_bucketed(spark, folder):
     SELECT a.vec_id AS vec_id_1, b.vec_id AS vec_id_2, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM e a JOIN e b ON a.vec_id < b.vec_id
     WHERE bit_count(xor(a.h, b.h)) <= 12 AND a.label <> b.label""")
 def near_pairs_not_yet_paired(spark, folder):
-    rows = _hashed(spark, folder)
-    known = duplicates.exact_pairs(rows.withColumn("digest", F.col("label").cast("string")), "vec_id", "digest", [])
-    return duplicates.not_yet_paired(duplicates.near_pairs(rows, "vec_id", "words", 12, [56]), known, "vec_id_1", "vec_id_2")
+    rows = _hashed(spark, folder).where("label IS NOT NULL")
+    return duplicates.not_paired_by(duplicates.near_pairs(rows, "vec_id", "words", 12, [56]), rows, "vec_id", "label")
 
 
 # ---- groups ----
