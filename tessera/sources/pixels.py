@@ -1,11 +1,13 @@
 """Facts about image files, taken where the files are read: pixels never leave the task that decodes them.
 
 Spark's reader decodes, an Arrow function in the same stage reduces each image to a narrow row, and only such rows are
-shuffled. Digests and lengths come from a scan of the bytes, whose contents stay in that stage too.
+shuffled. Digests and lengths come from a scan of the bytes, whose contents stay in that stage too. Where the paths are
+known, tasks open the files themselves, once: the driver lists no folder, and its work doesn't grow with the files.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,13 +18,17 @@ from pyspark.sql import functions as F
 
 from tessera.operators import images, tensors
 from tessera.sources import discovery, png
-from tessera.tables import bounded_batches
+from tessera.tables import bounded_batches, dealt, written
 
 #: What an image or mask is reduced to: difference hash of images; convention, affected pixels and regions of masks.
 FACTS = "key string, width int, height int, channels int, words array<bigint>, convention string, affected long, components int"
 #: Candidate paths are broadcast to the scan up to this number; beyond it all images are reduced to planes, and the planes are joined.
 BROADCAST_PATHS = 200_000
 PLANE = "key string, plane binary"
+#: Files that a task opens, about.
+FILES_EACH = 4096
+#: First bytes of the formats that Spark's reader may know; files that begin otherwise don't decode.
+STARTS = (png.SIGNATURE, b"\xff\xd8", b"GIF8", b"BM", b"II", b"MM", b"RIFF", b"\0")
 
 
 def file_key(path: Column) -> Column:
@@ -46,10 +52,18 @@ def _facts(key: str, is_mask: bool, pixels: np.ndarray, side: int, components: b
     return key, w, h, 1 if pixels.ndim == 2 else pixels.shape[2], None if is_mask else images.difference_hash(pixels, side), *found
 
 
+def _fields(schema: str) -> list[tuple[str, pa.DataType]]:
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "binary": pa.binary()}
+    return [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+
+
+def _batch(rows: list[tuple], fields: list[tuple[str, pa.DataType]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+
+
 def _reduced(rows: DataFrame, pixels_of: Callable[[dict], np.ndarray | None], each: Callable[[dict, np.ndarray], tuple], schema: str) -> DataFrame:
     """``each`` of the decoded pixels of every row, by Arrow batches in the stage that reads them; rows that don't decode are left out."""
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "array<bigint>": pa.list_(pa.int64()), "array<float>": pa.list_(pa.float32()), "binary": pa.binary()}
-    fields = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+    fields = _fields(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +72,7 @@ def _reduced(rows: DataFrame, pixels_of: Callable[[dict], np.ndarray | None], ea
                 row = {name: batch.column(i)[k] for i, name in enumerate(batch.schema.names)}
                 if (pixels := pixels_of(row)) is not None and pixels.size:
                     out.append(each(row, pixels))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(fields)], names=[n for n, _ in fields])
+            yield _batch(out, fields)
 
     bounded_batches(rows.sparkSession)
     return rows.mapInArrow(run, schema)
@@ -125,6 +139,59 @@ def facts(spark: SparkSession, root: str, side: int = 16, components: bool = Tru
     return found.unionByName(blank.select("path", kind.alias("kind"), F.lit(0).cast("long").alias("length"), F.md5(F.lit(b"")).alias("digest")), allowMissingColumns=True)
 
 
+def _known_store(root: str) -> bool:
+    try:
+        fs.FileSystem.from_uri(root)
+    except (ValueError, OSError):
+        return False
+    return True
+
+
+def facts_at(spark: SparkSession, root: str, paths: DataFrame, side: int = 16, components: bool = True) -> DataFrame:
+    """The rows of ``facts`` of those among ``paths`` (path, as the scan writes it) that are files below ``root``, written. Each file is opened once, in a task, and no folder is listed.
+
+    Plain PNG files, and masks of 16 bits, are decoded from these bytes. Only where other formats are among the files are these left to the scan,
+    and in stores that Arrow doesn't know all are.
+    """
+    at = discovery.qualified(spark, root)
+    wanted = paths.where(F.startswith(F.col("path"), F.lit(f"{at}/")))
+    if not _known_store(root):
+        found = facts(spark, root, side, components, expected=wanted)
+        return written(found.join(wanted.select("path").distinct(), "path", "left_semi"), "facts")
+    schema = f"path string, kind string, length long, digest string, {FACTS.partition(', ')[2]}, left boolean"
+    fields, blank = _fields(schema), (None,) * FACTS.count(", ")
+
+    def row(path: str, kind: str, content: bytes) -> tuple:
+        own = png.is_plain(content) or kind == "mask" and png.depth(content) == 16
+        pixels = png.decoded(content) if own else None
+        good = pixels is not None and pixels.size > 0
+        found = _facts(path, kind == "mask", pixels, side, components)[1:] if good else blank
+        return path, kind, len(content), hashlib.md5(content).hexdigest(), *found, not good and content.startswith(STARTS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            out = []
+            for path, kind in zip(batch.column("path").to_pylist(), batch.column("kind").to_pylist(), strict=True):
+                file = base.rstrip("/") + path[len(at) :]
+                try:
+                    with store.open_input_file(file) as f:
+                        out.append(row(path, kind, f.read()))
+                except OSError:
+                    if store.get_file_info(file).type == fs.FileType.File:
+                        raise
+            yield _batch(out, fields)
+
+    bounded_batches(spark)
+    named = dealt(wanted, "path", FILES_EACH).select("path").distinct().withColumn("kind", discovery.file_class(F.col("path"), at)).where("kind IN ('image', 'mask')")
+    opened = written(named.mapInArrow(run, schema), "opened")
+    left = opened.where("left").select("path")
+    if left.isEmpty():
+        return opened.drop("left")
+    scanned = facts(spark, root, side, components).join(left, "path", "left_semi")
+    return written(opened.where("NOT left").drop("left").unionByName(scanned), "facts")
+
+
 def planes(spark: SparkSession, root: str, paths: DataFrame) -> DataFrame:
     """(path, plane) of the images among ``paths`` (path): gray, 256 x 256, as 32-bit floats. Each is decoded once, whatever the number of its pairs."""
     wanted = paths.select("path").distinct()

@@ -46,3 +46,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark, path = bounded_batches(df.sparkSession), fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, each: int) -> DataFrame:
+    """``df`` dealt by a hash of ``key`` into parts of about ``each`` rows, at least one a core: for work that goes by rows, which parts of equal bytes would leave to few tasks."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // each)), key)
